@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from cinderfind.llm.mixing import op7_mix_sources
 from cinderfind.llm.mpeg_audio import op6_mpeg_audio
+from cinderfind.llm.packing import op3_best_fit_packing
 
 
 def queries():
     return {
+        "op3_best_fit_packing": op3_best_fit_packing,
         "op6_mpeg_audio": op6_mpeg_audio,
+        "op7_mix_sources": op7_mix_sources,
     }
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from cinderfind.llm.mixing import op7_mix_sources
 from cinderfind.llm.mpeg_audio import op6_mpeg_audio
 from cinderfind.llm.packing import op3_best_fit_packing
+from cinderfind.llm.warc import op8_warc
 
 
 def queries():
@@ -12,8 +13,21 @@ def queries():
         "op3_best_fit_packing": op3_best_fit_packing,
         "op6_mpeg_audio": op6_mpeg_audio,
         "op7_mix_sources": op7_mix_sources,
+        "op8_warc": op8_warc,
     }
 
 
+OP8 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+h AS (SELECT page_id, payload, octet_length(payload) AS n, sha1(payload) AS hex, max(page_id) OVER (PARTITION BY payload) AS first FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + (((('0x' || substr(hex, (5 * (i // 4) + 1)::BIGINT, 5))::BIGINT) >> (15 - 5 * (i % 4))::INTEGER) & 31)::INTEGER, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id < first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < first THEN first END AS refers_to
+FROM h
+"""
+
+
 def oracle_sql():
-    return {}
+    return {"op8_warc": OP8}

@@ -5,12 +5,14 @@ from __future__ import annotations
 from cinderfind.llm.mixing import op7_mix_sources
 from cinderfind.llm.mpeg_audio import op6_mpeg_audio
 from cinderfind.llm.packing import op3_best_fit_packing
+from cinderfind.llm.quality import op4_quality
 from cinderfind.llm.warc import op8_warc
 
 
 def queries():
     return {
         "op3_best_fit_packing": op3_best_fit_packing,
+        "op4_quality": op4_quality,
         "op6_mpeg_audio": op6_mpeg_audio,
         "op7_mix_sources": op7_mix_sources,
         "op8_warc": op8_warc,

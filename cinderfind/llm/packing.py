@@ -11,8 +11,11 @@ Skew: a length that a third of all pieces share is one run in the plan; ranks ar
 
 from __future__ import annotations
 
+import re
 import struct
+import unicodedata
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,41 +26,63 @@ from pyspark.sql import functions as F
 from cinderfind.llm._common import Workspace
 
 MAX_LEN = 2048
-CACHE = 400_000  # white-space separated chunks a task remembers
-_FOREIGN = "\x1c\x1d\x1e\x1f"  # str.split() parts at these, the tokenizer doesn't
+CACHE = 600_000  # words that a worker process remembers
 
 
-class Chunks(dict):
-    """chunk -> its ids as little-endian unsigned 32-bit bytes. The tokenizer parts words at white space."""
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level tokenizers write for each byte: itself where it prints, else one from 256 on."""
+    prints = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(256, 512))
+    return {b: chr(b if b in prints else next(rest)) for b in range(256)}
+
+
+class Ids(dict):
+    """word -> its ids as little-endian unsigned 32-bit bytes, remembered for up to CACHE words.
+
+    Most texts are of letters below U+0180, in composed form. Those are lower-cased and parted into words here, as
+    the tokenizer's own normalizer and pre-tokenizer do it, and only new words meet its model. Any other text, and
+    one that may hold a special token's string, goes to the tokenizer whole.
+    """
+
+    _letters, _digits = ("".join(re.escape(chr(i)) for i in range(0x180) if unicodedata.category(chr(i))[0] == kind) for kind in "LN")
+    part = re.compile(rf"[{_letters}]+|'(?:s|t|re|ve|m|ll|d)|[{_digits}]|[^\s{_letters}{_digits}]+").findall
+    foreign = re.compile(r"[^\x00-\x1b\x20-\u012f\u0131-\u017e]|<\|").search
+    letters = _byte_letters()
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.model = tokenizer, tokenizer.model
 
-    def __missing__(self, chunk: str) -> bytes:
+    def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE:
             self.clear()
-        ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        got = self[chunk] = struct.pack(f"<{len(ids)}I", *ids)
+        ids = [x.id for x in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
+        got = self[word] = struct.pack(f"<{len(ids)}I", *ids)
         return got
 
     def ids(self, text: str) -> bytes:
-        if any(c in text for c in _FOREIGN):
+        if self.foreign(text):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
-        return b"".join(map(self.__getitem__, text.split()))
+        return b"".join(map(self.__getitem__, self.part(text.lower())))
+
+
+@lru_cache(1)
+def _ids(tokenizer_path: str) -> Ids:
+    """One for a worker process: what it has learned serves its later tasks."""
+    from tokenizers import Tokenizer
+
+    return Ids(Tokenizer.from_file(tokenizer_path))
 
 
 def _pieces(tokenizer_path: str, max_len: int):
     def run(it):
-        from tokenizers import Tokenizer
-
-        chunks = Chunks(Tokenizer.from_file(tokenizer_path))
+        words = _ids(tokenizer_path)
         task, ranks, width = TaskContext.get().partitionId(), {}, 4 * max_len
         for batch in it:
             doc, piece, start, length, crc, rank = [], [], [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = chunks.ids(text.as_py() or "") + b"\0\0\0\0"
+                ids = words.ids(text.as_py() or "") + b"\0\0\0\0"
                 for k, at in enumerate(range(0, len(ids), width)):
                     part = ids[at : at + width]
                     n = len(part) // 4

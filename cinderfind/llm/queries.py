@@ -6,6 +6,8 @@ from cinderfind.llm.mixing import op7_mix_sources
 from cinderfind.llm.mpeg_audio import op6_mpeg_audio
 from cinderfind.llm.packing import op3_best_fit_packing
 from cinderfind.llm.quality import op4_quality
+from cinderfind.llm.simhash import op10_simhash_near_dedup
+from cinderfind.llm.substring_dedup import op5_substring_dedup
 from cinderfind.llm.warc import op8_warc
 
 
@@ -13,9 +15,11 @@ def queries():
     return {
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_quality": op4_quality,
+        "op5_substring_dedup": op5_substring_dedup,
         "op6_mpeg_audio": op6_mpeg_audio,
         "op7_mix_sources": op7_mix_sources,
         "op8_warc": op8_warc,
+        "op10_simhash_near_dedup": op10_simhash_near_dedup,
     }
 
 

@@ -8,11 +8,13 @@ from cinderfind.llm.packing import op3_best_fit_packing
 from cinderfind.llm.quality import op4_quality
 from cinderfind.llm.simhash import op10_simhash_near_dedup
 from cinderfind.llm.substring_dedup import op5_substring_dedup
+from cinderfind.llm.topk import op2_pivot_topk
 from cinderfind.llm.warc import op8_warc
 
 
 def queries():
     return {
+        "op2_pivot_topk": op2_pivot_topk,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_quality": op4_quality,
         "op5_substring_dedup": op5_substring_dedup,
@@ -35,5 +37,14 @@ FROM h
 """
 
 
+OP2 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 def oracle_sql():
-    return {"op8_warc": OP8}
+    return {"op2_pivot_topk": OP2, "op8_warc": OP8}

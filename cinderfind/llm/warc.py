@@ -106,7 +106,9 @@ def write_archives(pages: DataFrame, ws: Workspace, min_bytes: int = 0) -> DataF
     keyed = pages.select("page_id", "url", "html", F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("payload"))
     keyed = keyed.select("page_id", "url", "html", F.sha2("payload", 256).alias("key"), F.octet_length("payload").cast("long").alias("length"), F.sha1("payload").alias("hex"))
     thin = keyed.filter((F.col("length") >= min_bytes) & F.col("page_id").isNotNull()).groupBy("key").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    shared = thin.filter("n > 1").select(F.col("key").alias("k"), "first")
+    # as a table its size is known: a small one is broadcast below spark.sql.autoBroadcastJoinThreshold, and then no
+    # payload is shuffled; a larger one is joined by key
+    shared = ws.save(thin.filter("n > 1").select(F.col("key").alias("k"), "first"), "shared")
     joined = keyed.join(shared, (F.col("key") == F.col("k")) & (F.col("page_id") < F.col("first")), "left")
     rows = joined.select(
         "page_id", "url", F.when(F.col("first").isNull(), F.col("html")).alias("html"), F.col("first").alias("refers_to"), "hex", "length"
@@ -145,10 +147,10 @@ def _candidates(it):
 def entries(ws: Workspace, splits: DataFrame) -> DataFrame:
     """(file, at): where the true chain enters each split, by pointer jumping over the candidates' pointers."""
     there = ws.save(splits.mapInArrow(_candidates, "file string, at long, to long").filter("to >= 0"), "candidates")
-    places = there.select("file", "at")
+    places = there.select("file", "at").hint("merge")
     reached = places.filter("at = 0")
     # only a candidate that another split's chain leads to can be an entry
-    jumps = there.join(there.select("file", F.col("to").alias("at")).distinct().union(reached), ["file", "at"], "left_semi")
+    jumps = there.join(there.select("file", F.col("to").alias("at")).distinct().union(reached).hint("merge"), ["file", "at"], "left_semi")
     jumps, step = ws.save(jumps, "jump-0"), 0
     while True:
         found = reached.join(jumps, ["file", "at"]).select("file", F.col("to").alias("at")).join(places, ["file", "at"], "left_semi")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from cinderfind.llm.line_dedup import op1_line_dedup
 from cinderfind.llm.mixing import op7_mix_sources
 from cinderfind.llm.mpeg_audio import op6_mpeg_audio
 from cinderfind.llm.packing import op3_best_fit_packing
@@ -14,6 +15,7 @@ from cinderfind.llm.warc import op8_warc
 
 def queries():
     return {
+        "op1_line_dedup": op1_line_dedup,
         "op2_pivot_topk": op2_pivot_topk,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_quality": op4_quality,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from cinderfind.llm.license_scan import op9_license_scan
 from cinderfind.llm.line_dedup import op1_line_dedup
 from cinderfind.llm.mixing import op7_mix_sources
 from cinderfind.llm.mpeg_audio import op6_mpeg_audio
@@ -23,6 +24,7 @@ def queries():
         "op6_mpeg_audio": op6_mpeg_audio,
         "op7_mix_sources": op7_mix_sources,
         "op8_warc": op8_warc,
+        "op9_license_scan": op9_license_scan,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
     }
 

@@ -148,26 +148,28 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     return Model(w, bias, *_logistic(margin[rest], y[rest], weight[rest]))
 
 
-def _scored(model: Model):
+def _scored(model: Model, name: str):
     def run(it):
         mask = np.zeros(BUCKETS, np.uint8)
         for batch in it:
             score = [model.score(features(t.as_py() or "", mask)) for t in batch.column("text")]
-            yield pa.record_batch([*batch.columns, pa.array(score, pa.float64())], names=[*batch.schema.names, "score"])
+            yield pa.record_batch([*batch.columns, pa.array(score, pa.float64())], names=[*batch.schema.names, name])
 
     return run
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column score (a former one of that name gives way). Null text: as empty, whose score is the bias's."""
-    docs = docs.drop("score")
-    return docs.mapInArrow(_scored(model), T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs with a column of scores (a former one of that name gives way). Null text: as empty, whose score is the bias's."""
+    docs = docs.drop(name)
+    return docs.mapInArrow(_scored(model, name), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score threshold at least, with their own columns."""
-    scored = docs.withColumn("_text", F.col("text")).select(F.struct(*docs.columns).alias("row"), F.col("_text").alias("text"))
-    return score(scored, fit(docs, labels)).filter(F.col("score") >= threshold).select("row.*")
+    name = "_score"
+    while name in docs.columns:
+        name = "_" + name
+    return score(docs, fit(docs, labels), name).filter(F.col(name) >= threshold).select(*docs.columns)
 
 
 def op4_quality(spark, sf_dir):

@@ -25,7 +25,11 @@ class Table:
         fs, pointer = self._fs(f"{self.path}/_CURRENT")
         if not fs.exists(pointer):
             return None
-        return self.spark.read.text(f"{self.path}/_CURRENT").first()[0]
+        stream = fs.open(pointer)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
 
     def read(self) -> DataFrame:
         """The current version; an empty table before the first commit."""
@@ -44,7 +48,7 @@ class Table:
         out.close()
         _, pointer = self._fs(f"{self.path}/_CURRENT")
         context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.toUri(), self.spark._jsc.hadoopConfiguration())
-        over = self.spark._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        over = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
         over[0] = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         context.rename(context.makeQualified(fresh), context.makeQualified(pointer), over)
         self.spark.catalog.refreshByPath(self.path)

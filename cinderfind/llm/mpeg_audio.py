@@ -147,9 +147,10 @@ def read(data: bytes) -> Stream:
     while at < end:
         head = _frame(data, at)
         sound = head is not None and at + head[0] <= end and at + 6 + _SIDE <= end and (not rate or head[2] == rate)
-        if sound and not synced:  # a header inside other bytes: another must follow it
+        good = sound and _crc_good(data, at, seen)
+        if sound and not (synced and good):  # it may be other bytes that look like a header: another must follow it
             nxt = at + head[0]
-            sound = (nxt == end or _frame(data, nxt) is not None) and _crc_good(data, at, seen)
+            sound = (nxt == end or _frame(data, nxt) is not None) and (synced or good)
         if not sound:
             synced = False
             nxt = data.find(b"\xff", at + 1, end)
@@ -158,7 +159,7 @@ def read(data: bytes) -> Stream:
             continue
         synced = True
         size = head[0]
-        if not _crc_good(data, at, seen):
+        if not good:
             bad += 1
         elif not rate and not offsets and data[at + _BODY : at + _BODY + 4] in (b"Xing", b"Info"):
             flags = struct.unpack(">I", data[at + _BODY + 4 : at + _BODY + 8])[0]

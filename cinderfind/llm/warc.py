@@ -141,7 +141,7 @@ def _candidates(it):
                     to[p] = nxt if nxt >= end else to.get(nxt - base, -1)
                     if nxt > last:
                         to[p] = -1
-            yield pa.record_batch([pa.array([row["file"]] * len(to)), pa.array([p + base for p in to], pa.int64()), pa.array(list(to.values()), pa.int64())], names=["file", "at", "to"])
+            yield pa.record_batch([pa.array([row["file"]] * len(to), pa.string()), pa.array([p + base for p in to], pa.int64()), pa.array(list(to.values()), pa.int64())], names=["file", "at", "to"])
 
 
 def entries(ws: Workspace, splits: DataFrame) -> DataFrame:

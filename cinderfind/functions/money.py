@@ -19,7 +19,7 @@ def usd_to_nanos(usd, label: str = "usd") -> int:
         amount = Decimal(str(usd))
     except (InvalidOperation, ValueError) as e:
         raise ValueError(f"{label} is no amount: {usd!r}") from e
-    if not amount.is_finite() or amount < 0:
+    if amount < 0 if amount.is_finite() else True:
         raise ValueError(f"{label} must be finite and not negative")
     nanos = int((amount * NANOS).to_integral_value(ROUND_CEILING))
     if nanos > MAX_NANOS:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import types as T
 
-DOCUMENT_COLUMNS = ("doc_id", "title", "source", "doc_type", "tenant_id", "visibility", "owner_group", "status", "created_at", "updated_at")
+DOCUMENT_COLUMNS = tuple("doc_id title source doc_type tenant_id visibility owner_group status created_at updated_at".split())
 
 
 class EngineError(Exception):
@@ -38,8 +38,8 @@ class PricingUnavailable(EngineError):
 class Scope:
     """Who asks: a tenant and a tuple of visibilities. None leaves that side open."""
 
-    tenant_id: str | None = None
-    visibility: tuple[str, ...] | None = None
+    tenant_id: "str | None" = None
+    visibility: "tuple | None" = None
 
     def __post_init__(self):
         if self.tenant_id is not None and not (isinstance(self.tenant_id, str) and self.tenant_id.strip()):
@@ -57,7 +57,7 @@ class Scope:
 
 def sanitize(part: object) -> str:
     """Lower-case letters and digits joined by single underscores; nothing left is an error."""
-    out = re.sub(r"[^a-z0-9]+", "_", str(part).lower()).strip("_")
+    out = "_".join(re.findall("[0-9a-z]+", str(part).lower()))
     if not out:
         raise ValueError(f"{part!r} has no letter or digit")
     return out
@@ -67,10 +67,10 @@ def sanitize(part: object) -> str:
 class Space:
     """The identity of an embedding space. Vectors of different spaces are never compared."""
 
-    provider: str
-    model: str
-    dimension: int
-    version: str = "1"
+    provider: "str"
+    model: "str"
+    dimension: "int"
+    version: "str" = "1"
 
     def __post_init__(self):
         if isinstance(self.dimension, bool) or not isinstance(self.dimension, int) or self.dimension < 1:

@@ -16,7 +16,7 @@ from cinderfind.functions import text as T
 
 MAX_WORDS = 900
 OVERLAP = 75
-HEADING = r"^(#{1,6})\s+(.+?)\s*#*\s*$"
+HEADING = r"^([#]{1,6})[ \t]+(.+?)[ \t]*[#]*[ \t]*$"
 _WORD = re.compile(r"\S+").findall
 
 

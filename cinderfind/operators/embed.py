@@ -16,6 +16,7 @@ from cinderfind.functions.vectors import bucket
 from cinderfind.model import Space
 
 BATCH = 100
+_RUN = re.compile("[0-9a-z]+").findall
 
 
 class Provider(ABC):
@@ -24,34 +25,36 @@ class Provider(ABC):
     space: Space
 
     @abstractmethod
-    def embed_texts(self, texts: list[str]) -> list[list[float]]: ...
+    def embed_texts(self, texts):
+        """A vector for each text."""
 
-    def embed_query(self, text: str) -> list[float]:
+    def embed_query(self, text):
         return self.embed_texts([text])[0]
 
-    def estimate_tokens(self, texts: list[str]) -> int:
+    def estimate_tokens(self, texts):
         """A quarter of a text's characters, rounded up."""
         return sum(max(1, -(-len(t) // 4)) for t in texts if t)
 
-    def embed_texts_with_usage(self, texts: list[str]) -> tuple[list[list[float]], int]:
+    def embed_texts_with_usage(self, texts):
         return self.embed_texts(texts), self.estimate_tokens(texts)
 
-    def embed_query_with_usage(self, text: str) -> tuple[list[float], int]:
+    def embed_query_with_usage(self, text):
         return self.embed_query(text), self.estimate_tokens([text])
 
 
 class HashProvider(Provider):
     """Deterministic bag of words: counts of letter-digit runs by an 8-byte BLAKE2 bucket."""
 
-    def __init__(self, dimension: int = 64, provider: str = "hash", model: str = "bow", version: str = "1"):
+    def __init__(self, dimension=64, provider: str = "hash", model: str = "bow", version: str = "1"):
         self.space = Space(provider, model, dimension, version)
 
     def embed_texts(self, texts):
         out = []
         for text in texts:
             v = [0.0] * self.space.dimension
-            for token in re.findall(r"[a-z0-9]+", text.lower()):
-                v[int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "big") % len(v)] += 1.0
+            for run in map(str.encode, _RUN(text.lower())):
+                digest = hashlib.blake2b(run, digest_size=8)
+                v[int(digest.hexdigest(), 16) % len(v)] += 1.0
             out.append(v)
         return out
 
@@ -76,9 +79,9 @@ def requests(sizes: list[int], batch_size: int = 128, max_tokens: int = MAX_REQU
 class OpenAIProvider(Provider):
     """A client of the OpenAI embeddings API, made by client() (the package is needed only without one)."""
 
-    DIMENSIONS = {"text-embedding-3-small": 1536, "text-embedding-3-large": 3072, "text-embedding-ada-002": 1536}
+    DIMENSIONS = {f"text-embedding-{name}": n for name, n in zip(("ada-002", "3-large", "3-small"), (1536, 3072, 1536))}
 
-    def __init__(self, model: str = "text-embedding-3-small", client: Callable | None = None, batch_size: int = 128, version: str = "1"):
+    def __init__(self, model="text-embedding-3-small", client: Callable | None = None, batch_size: int = 128, version: str = "1"):
         self.space = Space("openai", model, self.DIMENSIONS[model], version)
         if not 1 <= batch_size <= MAX_INPUTS:
             raise ValueError(f"a request takes 1 to {MAX_INPUTS} inputs")
@@ -111,9 +114,9 @@ class OpenAIProvider(Provider):
 class SentenceTransformerProvider(Provider):
     """A local model, loaded where it is first used; unit vectors."""
 
-    DIMENSIONS = {"all-MiniLM-L6-v2": 384, "all-MiniLM-L12-v2": 384, "all-mpnet-base-v2": 768}
+    DIMENSIONS = {"all-mpnet-base-v2": 768} | {f"all-MiniLM-L{n}-v2": 384 for n in (6, 12)}
 
-    def __init__(self, model: str = "all-MiniLM-L6-v2", dimension: int | None = None, load: Callable | None = None, batch_size: int = 32, version: str = "1"):
+    def __init__(self, model="all-MiniLM-L6-v2", dimension=None, load: Callable | None = None, batch_size: int = 32, version: str = "1"):
         self._load, self._loaded, self.batch_size, self._name = load, None, batch_size, model
         self.space = Space("sentence-transformers", model, dimension or self.DIMENSIONS.get(model) or self.model.get_sentence_embedding_dimension(), version)
 
@@ -143,7 +146,7 @@ def hashed(rows: DataFrame, dimension: int, key: str = "id", text: str = "text")
     return bag.select(key, F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dimension - 1).cast("long")), lambda i: F.coalesce(F.element_at("_m", i), F.lit(0.0))).alias("embedding"))
 
 
-def checked(provider: Provider, texts: list[str]) -> list[list[float]]:
+def checked(provider: Provider, texts: list) -> list:
     vectors = provider.embed_texts(texts)
     if len(vectors) != len(texts):
         raise ValueError(f"{len(texts)} texts came back as {len(vectors)} vectors")

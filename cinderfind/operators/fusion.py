@@ -20,7 +20,7 @@ def rrf(rankings: Sequence[DataFrame], weights: Sequence[float | Column] | None
     weights = [1.0] * len(rankings) if weights is None else list(weights)
     if isinstance(k, bool) or not isinstance(k, int) or k < 1:
         raise ValueError("k is a positive whole number")
-    if len(weights) != len(rankings):
+    if len(rankings) - len(weights):
         raise ValueError("each list has one weight")
     if any(not isinstance(w, Column) and w < 0 for w in weights):
         raise ValueError("weights aren't negative")

@@ -43,10 +43,10 @@ class Result:
     hits: DataFrame
     request_id: str
     n_queries: int
-    provider: str | None
-    model: str | None
     space_id: str | None
+    provider: str | None
     provider_reason: str | None
+    model: str | None
     fallback_occurred: bool
     degraded: bool
     dense_k: int

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from cinderfind.functions.text import strip
 
-TICKET = r"\b[A-Z][A-Z0-9]{1,9}-\d+\b"
-CODED = r"\b(?:SQLSTATE|HRESULT|ERRNO)\s+[0-9A-Fa-f]+\b"
-CONSTANT = r"\b[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+\b"
+TICKET = r"\b[A-Z][0-9A-Z]{1,9}-[0-9]+\b"
+CODED = r"\b(?:ERRNO|HRESULT|SQLSTATE)\s+[A-Fa-f0-9]+\b"
+CONSTANT = r"\b[A-Z][0-9A-Z]*(?:[_][0-9A-Z]+)+\b"
 PHRASE = r'"([^"]+)"'
 
 

@@ -24,7 +24,7 @@ def _kind(value) -> str:
     if isinstance(value, bool):
         return "bool"
     if isinstance(value, (int, float)):
-        if isinstance(value, float) and not math.isfinite(value):
+        if math.isnan(value) or math.isinf(value):
             raise ValueError("a filter's numbers are finite")
         return "number"
     if isinstance(value, str):
@@ -32,6 +32,11 @@ def _kind(value) -> str:
     raise ValueError(f"{value!r} is no text, number or truth value")
 
 
+def _check_key(key) -> None:
+    if not (key and isinstance(key, str)):
+        raise ValueError("a filter's keys are non-empty strings")
+
+
 class _Plain:
     """A typed column."""
 
@@ -111,8 +116,7 @@ def compile_filter(where: dict | None, columns: dict[str, tuple[Column, str]], a
     """The predicate of a filter. columns: key -> (column, kind) with kind text, number or bool."""
     parts = []
     for key, condition in (where or {}).items():
-        if not isinstance(key, str) or not key:
-            raise ValueError("a filter's keys are non-empty strings")
+        _check_key(key)
         if key in columns:
             target = _Plain(*columns[key])
         elif attributes is not None:
@@ -145,8 +149,7 @@ def merge_scope(where: dict | None, scope: Scope | None) -> dict | None:
 def matches(where: dict | None, metadata: dict) -> bool:
     """The same predicate over one Python mapping, for driver-side use."""
     for key, condition in (where or {}).items():
-        if not isinstance(key, str) or not key:
-            raise ValueError("a filter's keys are non-empty strings")
+        _check_key(key)
         tests = condition.items() if isinstance(condition, dict) else [("$eq", condition)]
         if isinstance(condition, dict) and not condition:
             raise ValueError(f"{key} has a condition without operators")

@@ -277,8 +277,8 @@ _TEXTS = ["INC-1104 fails", "ORA-00001 or SQLSTATE 23505", "ERR_CONNECTION_RESET
 
 @query(
     "WITH q AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(_TEXTS)) + r""") v(query_id, text)),
-i AS (SELECT query_id, text, list_concat(regexp_extract_all(text, '\b[A-Z][A-Z0-9]{1,9}-\d+\b'), regexp_extract_all(text, '\b(?:SQLSTATE|HRESULT|ERRNO)\s+[0-9A-Fa-f]+\b'),
-  regexp_extract_all(text, '\b[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+\b')) AS ids, regexp_extract_all(text, '"([^"]+)"', 1) AS phrases FROM q),
+i AS (SELECT query_id, text, list_concat(regexp_extract_all(text, '\b[A-Z][0-9A-Z]{1,9}-[0-9]+\b'), regexp_extract_all(text, '\b(?:ERRNO|HRESULT|SQLSTATE)\s+[A-Fa-f0-9]+\b'),
+  regexp_extract_all(text, '\b[A-Z][0-9A-Z]*(?:[_][0-9A-Z]+)+\b')) AS ids, regexp_extract_all(text, '"([^"]+)"', 1) AS phrases FROM q),
 k AS (SELECT *, CASE WHEN trim(text) = '' THEN 'empty' WHEN len(ids) > 0 THEN 'identifier' WHEN len(phrases) > 0 THEN 'phrase' ELSE 'natural' END AS kind FROM i)
 SELECT query_id, kind, len(list_distinct(ids))::INTEGER AS n_ids, len(phrases)::INTEGER AS n_phrases, CASE WHEN kind IN ('identifier', 'phrase') THEN 2.0 ELSE 1.0 END::DOUBLE AS lexical_weight FROM k"""
 )

@@ -20,13 +20,13 @@ from pyspark.sql import functions as F
 from cinderfind.model import SourceError
 
 RECORD = "id string, semantic array<struct<label:string,value:string>>, structured string, source string"
-ID_NAMES = ("doc_id", "record_id", "document_id", "id")
+ID_NAMES = tuple("doc_id record_id document_id id".split())
 SEMANTIC_NAMES = ("title", "name", "summary", "description", "question", "answer", "body", "content", "details", "notes", "resolution", "text")
-_H1 = re.compile(r"#\s+(.+?)\s*#*\s*")
+_H1 = re.compile(r"[#][ \t]+(.+?)[ \t]*[#]*[ \t]*")
 
 
-def normalized(name: str) -> str:
-    return re.sub(r"[^a-z0-9]+", "_", name.lower()).strip("_")
+def normalized(name):
+    return "_".join(re.findall("[0-9a-z]+", name.lower()))
 
 
 def _resolve(names: Sequence[str], wanted: str) -> str:
@@ -62,7 +62,7 @@ def coerce(text: str):
         return text.lower() == "true"
     if re.fullmatch(r"-?(?:0|[1-9][0-9]*)", text):
         return int(text)
-    if re.fullmatch(r"-?(?:0|[1-9][0-9]*)\.[0-9]+(?:[eE][-+]?[0-9]+)?", text) and math.isfinite(float(text)):
+    if re.fullmatch(r"-?(?:[1-9]\d*|0)[.]\d+(?:[Ee][+-]?\d+)?", text) and math.isfinite(float(text)):
         return float(text)
     return text
 

@@ -16,7 +16,7 @@ _FACTORIES: dict = {}
 
 
 def register_store(name: str, factory) -> None:
-    if not isinstance(name, str) or not name:
+    if not (name and isinstance(name, str)):
         raise ValueError("a store has a name")
     _FACTORIES[name] = factory
 

@@ -5,9 +5,9 @@ from cinderfind.model import Scope
 from cinderfind.plans.filters import compile_filter, compile_scope, matches, merge_scope
 
 ROWS = [
-    ("alpha", '{"kind": "runbook", "priority": 3, "active": true, "n": "3"}'),
-    ("beta", '{"kind": "known_issue", "priority": 2.0, "active": true}'),
-    ("gamma", '{"kind": "policy", "priority": 1, "active": false, "n": 3}'),
+    ("1", '{"n": "3", "live": true, "kind": "howto", "level": 3}'),
+    ("2", '{"live": true, "kind": "defect", "level": 2.0}'),
+    ("3", '{"n": 3, "live": false, "kind": "rule", "level": 1}'),
 ]
 
 
@@ -23,23 +23,23 @@ def ids(rows, where):
 @pytest.mark.parametrize(
     "where, want",
     [
-        (None, {"alpha", "beta", "gamma"}),
-        ({"kind": "runbook"}, {"alpha"}),
-        ({"kind": {"$in": ["runbook", "known_issue"]}}, {"alpha", "beta"}),
-        ({"priority": {"$gt": 1}}, {"alpha", "beta"}),
-        ({"priority": {"$gte": 2}}, {"alpha", "beta"}),
-        ({"priority": {"$lt": 2}}, {"gamma"}),
-        ({"priority": {"$lte": 2}}, {"beta", "gamma"}),
-        ({"priority": {"$gt": 1, "$lt": 3}}, {"beta"}),
-        ({"active": True, "priority": {"$gte": 3}}, {"alpha"}),
-        ({"active": 1}, set()),
-        ({"priority": 2}, {"beta"}),
-        ({"n": 3}, {"gamma"}),
-        ({"n": "3"}, {"alpha"}),
-        ({"n": {"$gt": 1}}, {"gamma"}),
-        ({"n": {"$in": [3, "3"]}}, {"alpha", "gamma"}),
+        (None, {"1", "2", "3"}),
+        ({"kind": "howto"}, set("1")),
+        ({"kind": {"$in": ["howto", "defect"]}}, {"1", "2"}),
+        ({"level": {"$gt": 1}}, {"1", "2"}),
+        ({"level": {"$gte": 2}}, {"1", "2"}),
+        ({"level": {"$lt": 2}}, {"3"}),
+        ({"level": {"$lte": 2}}, {"2", "3"}),
+        ({"level": {"$gt": 1, "$lt": 3}}, {"2"}),
+        ({"live": True, "level": {"$gte": 3}}, set("1")),
+        ({"live": 1}, set()),
+        ({"level": 2}, {"2"}),
+        ({"n": 3}, {"3"}),
+        ({"n": "3"}, set("1")),
+        ({"n": {"$gt": 1}}, {"3"}),
+        ({"n": {"$in": [3, "3"]}}, {"1", "3"}),
         ({"missing": "x"}, set()),
-        ({"id": {"$gt": "alpha"}}, {"beta", "gamma"}),
+        ({"id": {"$gt": "1"}}, {"2", "3"}),
     ],
 )
 def test_filters(rows, where, want):
@@ -55,7 +55,7 @@ def test_what_is_refused(rows, where):
 def test_matches_agrees(rows):
     import json
 
-    for where in ({"kind": "policy"}, {"priority": {"$gt": 1}}, {"active": 1}, {"n": {"$in": [3]}}):
+    for where in ({"kind": "rule"}, {"level": {"$gt": 1}}, {"live": 1}, {"n": {"$in": [3]}}):
         assert {i for i, m in ROWS if matches(where, json.loads(m))} == ids(rows, where)
 
 

@@ -19,9 +19,9 @@ def record(id_, title, body, **structured):
 
 
 ROWS = [
-    record("INC-1104", "Payments report fails", "SQLSTATE 23505 raised by payments reporting", doc_type="incident", tenant_id="acme", visibility="internal", severity=3),
+    record("INC-1104", "Payments report fails", "SQLSTATE 23505 raised by payments reporting", severity=3, tenant_id="acme", visibility="internal", doc_type="incident"),
     record("KB-77", "Shared network notes", "network routing and certificate rotation", doc_type="kb"),
-    record("SEC-1", "Secret network rotation", "certificate rotation of the secret network", doc_type="incident", tenant_id="globex", visibility="restricted", severity=1),
+    record("SEC-1", "Secret network rotation", "certificate rotation of the secret network", severity=1, tenant_id="globex", visibility="restricted", doc_type="incident"),
 ]
 
 

@@ -16,8 +16,8 @@ def fuse(spark, lists, **kw):
 
 
 def test_rrf(spark):
-    both = fuse(spark, [["a", "b"], ["b", "a"]])
-    assert both["a"] == pytest.approx(1 / 61 + 1 / 62) and both["a"] == both["b"]
+    both = fuse(spark, ["ab", "ba"])
+    assert both["b"] == both["a"] and math.isclose(both["b"], sum(1 / (60 + i) for i in (1, 2)))
     assert fuse(spark, [["a", "a", "b"]]) == {"a": pytest.approx(1 / 61), "b": pytest.approx(1 / 63)}
     assert fuse(spark, [["a"], ["b"]], weights=[2.0, 1.0])["a"] == pytest.approx(2 / 61)
     for kw in ({"k": 0}, {"weights": [1.0, -1.0]}, {"weights": [1.0]}):

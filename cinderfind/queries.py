@@ -54,7 +54,8 @@ def _top_sql(where="true", k=10, q=Q1):
     return f"SELECT vec_id AS id, label, round({_COS.format(_sqlv(q))}, 6) AS score FROM embeddings WHERE {where} ORDER BY {_COS.format(_sqlv(q))} DESC, vec_id LIMIT {k}"
 
 
-LABEL = {"label": (F.col("label"), "number"), "id": (F.col("id"), "number")}
+def _label():
+    return {"label": (F.col("label"), "number"), "id": (F.col("id"), "number")}
 
 
 @query(_top_sql())
@@ -64,17 +65,17 @@ def dense_topk_cosine(spark, d):
 
 @query(_top_sql("label IN (1, 2, 3)"))
 def dense_topk_filtered_in(spark, d):
-    return _scored(dense.topk(_emb(spark, d), Q1, 10, compile_filter({"label": {"$in": [1, 2, 3]}}, LABEL)))
+    return _scored(dense.topk(_emb(spark, d), Q1, 10, compile_filter({"label": {"$in": [1, 2, 3]}}, _label())))
 
 
 @query(_top_sql("label = 4"))
 def dense_topk_filtered_eq(spark, d):
-    return _scored(dense.topk(_emb(spark, d), Q1, 10, compile_filter({"label": 4}, LABEL)))
+    return _scored(dense.topk(_emb(spark, d), Q1, 10, compile_filter({"label": 4}, _label())))
 
 
 @query(_top_sql("label >= 2 AND label < 7 AND vec_id > 20"))
 def dense_topk_filtered_range(spark, d):
-    return _scored(dense.topk(_emb(spark, d), Q1, 10, compile_filter({"label": {"$gte": 2, "$lt": 7}, "id": {"$gt": 20}}, LABEL)))
+    return _scored(dense.topk(_emb(spark, d), Q1, 10, compile_filter({"label": {"$gte": 2, "$lt": 7}, "id": {"$gt": 20}}, _label())))
 
 
 _BATCH = f"""WITH q AS (SELECT * FROM (VALUES (1, {_sqlv(Q1)}), (2, {_sqlv(Q2)}), (3, {_sqlv(Q3)})) t(query_id, v)),

@@ -1,11 +1,13 @@
 """Substring dedup by hashing of text units: the earliest ranked occurrence stays, later ones go.
 
-Units are lines, parted further into sentences and before capitalised words. Plain lines or paragraphs, as the method
-has it, miss a passage that is pasted into the middle of a line: it begins and ends inside other sentences. A unit is
-lower-cased and its white space collapsed; a short one is joined with those after it up to WINDOW words, so a digest
-never stands for a common word or two. Digests (64 bits) are grouped globally. A unit in a window that an earlier
-document has, or that came before in the same document, is a copy; runs of copies of MIN_WORDS words at least are
-cut, and their original offsets kept. Shorter repeats (headings, boilerplate lines) are left alone.
+Plain lines or paragraphs, as the method has it, miss a passage that is pasted into the middle of a line and begins
+or ends inside a sentence. So units begin at lines and, within them, at words whose hash is a multiple of CUT: that
+depends on the word alone, so a pasted passage is parted where its source is. Words are lower-cased and white space
+collapsed. A digest (64 bits) is that of the units from one on up to WINDOW words at least, so it never stands for a
+common word or two. Digests are grouped globally. Units in a window that an earlier document has, or that came before
+in the same document, are copies; runs of copies of MIN_WORDS words at least are cut, and their original offsets kept.
+Shorter repeats (headings, boilerplate lines) are left alone. Of a passage that is pasted into other text, a few words
+may stay at either end, up to the next unit.
 
 The rank is doc_id (null last); rows that share a doc_id rank equally and don't cut one another. A digest's first
 document comes from an aggregation that combines map-side, so a hot digest costs one row a task; only digests that
@@ -16,8 +18,9 @@ from __future__ import annotations
 
 import re
 import sys
-from itertools import accumulate
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -25,105 +28,120 @@ from pyspark.sql import functions as F
 
 from cinderfind.llm._common import Workspace
 
+CUT = 4
 WINDOW = 8
-MIN_WORDS = 25
-
-
-def _upper_class() -> str:
-    out, start = [], None
-    for i in range(0x10000):
-        up = chr(i).isupper()
-        if up and start is None:
-            start = i
-        elif not up and start is not None:
-            out.append(re.escape(chr(start)) + ("-" + re.escape(chr(i - 1)) if i - 1 > start else ""))
-            start = None
-    return "".join(out)
-
-
-_PART = re.compile(rf"(\s*\n\s*|(?<=[.!?…。！？])\s+|\s+(?=[{_upper_class()}]))").split
-_digest = xxhash.xxh3_64_intdigest
-
-
-def units(text: str) -> tuple[list[int], list[str], list[int]]:
-    """(offsets of the units' begins and the text's end, normalised units, their words). A unit ends with its gap."""
-    parts = _PART(text)
-    parts.append("")
-    pieces = [a + b for a, b in zip(parts[::2], parts[1::2])]
-    words = [p.lower().split() for p in pieces]
-    return [0, *accumulate(map(len, pieces))], [" ".join(w) for w in words], [len(w) for w in words]
-
-
-def digests(norm: list[str], count: list[int]) -> list[tuple[int, int]]:
-    """For each unit, the digest of the window that begins there and the window's end. At the end windows are short."""
-    out, n, j, have = [], len(norm), 0, 0
-    for i in range(n):
-        if j <= i:
-            j, have = i + 1, count[i]
-        while have < WINDOW and j < n:
-            have += count[j]
-            j += 1
-        out.append((_digest(norm[i] if j == i + 1 else "\n".join(norm[i:j])) - (1 << 63), j))
-        have -= count[i]
+MIN_WORDS = 20
+CACHE = 500_000
+_P = np.uint64(0x9E3779B97F4A7C15)
+_P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+class _Words(dict):
+    """word -> its hash, for up to CACHE words."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= CACHE:
+            self.clear()
+        got = self[word] = xxhash.xxh3_64_intdigest(word)
+        return got
+
+
+@lru_cache(1)
+def _words() -> _Words:
+    return _Words()
+
+
+@lru_cache(64)
+def _powers(bits: int, base: int) -> np.ndarray:
+    """base ** i for i below 2 ** bits, modulo 2 ** 64."""
+    out = np.ones(1, np.uint64)
+    for k in range(bits):
+        out = np.concatenate([out, out * np.uint64(pow(base, 1 << k, 1 << 64))])
     return out
 
 
+def windows(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(begin, end, digest) of each unit's window in words, ascending, and the number of words."""
+    lines = [line.split() for line in text.lower().split("\n")]
+    words = [w for line in lines for w in line]
+    n = len(words)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+    code = np.fromiter(map(_words().__getitem__, words), np.uint64, n)
+    unit = code % np.uint64(CUT) == 0
+    starts = np.cumsum([0, *map(len, lines)])[:-1]
+    unit[starts[starts < n]] = True
+    begin = np.flatnonzero(unit)
+    edges = np.append(begin, n)
+    end = edges[np.minimum(np.searchsorted(edges, begin + WINDOW), len(begin))]
+    bits = int(n).bit_length()
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(code * _powers(bits, int(_P))[:n])])
+    digest = (total[end] - total[begin]) * _powers(bits, int(_P_INVERSE))[begin]
+    digest ^= (end - begin).astype(np.uint64) * _P
+    digest = (digest ^ (digest >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return begin, end, (digest ^ (digest >> np.uint64(29))).view(np.int64), n
+
+
 def _distinct(it):
     for batch in it:
-        ids, found = [], []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            _, norm, count = units(text.as_py() or "")
-            own = {d for d, _ in digests(norm, count)}
-            ids += [doc_id] * len(own)
-            found += own
-            if len(ids) > 100_000:
-                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(found, pa.int64())], names=["rank", "digest"])
-                ids, found = [], []
-        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(found, pa.int64())], names=["rank", "digest"])
-
-
-def cut(text: str, later: set[int], min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
-    """The spans to remove: runs of units in copied windows, min_words words at least."""
-    at, norm, count = units(text)
-    copied, seen = bytearray(len(norm)), set()
-    for i, (d, j) in enumerate(digests(norm, count)):
-        if d in later or d in seen:
-            copied[i:j] = b"\1" * (j - i)
-        seen.add(d)
-    spans, i, n = [], 0, len(norm)
-    while i < n:
-        if not copied[i]:
-            i += 1
-            continue
-        j = copied.find(0, i)
-        j = n if j < 0 else j
-        if sum(count[i:j]) >= min_words:
-            spans.append((at[i], at[j]))
-        i = j
-    return spans
+        ids, found, rows = [], [], 0
+
+        def out():
+            return pa.record_batch([pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int64)), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], names=["rank", "digest"])
+
+        for rank, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            own = np.unique(windows(text.as_py() or "")[2])
+            ids.append(np.full(len(own), rank, np.int64)), found.append(own)
+            rows += len(own)
+            if rows > 200_000:
+                yield out()
+                ids, found, rows = [], [], 0
+        yield out()
+
+
+def runs(text: str, later: np.ndarray, min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
+    """Runs of copied words [begin, end), min_words at least. later: digests that an earlier document has."""
+    begin, end, digest, n = windows(text)
+    _, first = np.unique(digest, return_index=True)
+    again = np.ones(len(digest), bool)
+    again[first] = False
+    copied = again | np.isin(digest, later)
+    step = np.zeros(n + 2, np.int64)
+    np.add.at(step, begin[copied] + 1, 1)
+    np.add.at(step, end[copied] + 1, -1)
+    edge = np.diff((np.cumsum(step) > 0).astype(np.int8))
+    return [(a, b) for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)) if b - a >= min_words]
+
+
+def cut(text: str, later: np.ndarray, min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
+    """The spans to remove, in code points of the text: from a run's first word to the word after it."""
+    found = runs(text, later, min_words)
+    if not found:
+        return []
+    at = [m.start() for m in re.finditer(r"\S+", text)] + [len(text)]
+    return [(at[a] if a else 0, at[b]) for a, b in found]
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def _cutter(min_words: int):
     def run(it):
         for batch in it:
-            names = batch.schema.names
             texts, spans = [], []
-            for text, later in zip(batch.column("text"), batch.column("_later").to_pylist()):
+            for text, later in zip(batch.column("text"), batch.column("_later")):
                 text = text.as_py()
-                found = cut(text, set(later or ()), min_words) if text else []
+                known = later.values.to_numpy() if later.is_valid else np.zeros(0, np.int64)
+                found = cut(text, known, min_words) if text else []
                 spans.append([{"start": a, "end": b} for a, b in found])
                 for a, b in reversed(found):
                     text = text[:a] + text[b:]
                 texts.append(text)
-            columns = [pa.array(texts, pa.string()) if n == "text" else pa.array(spans, _SPANS) if n == "_later" else batch.column(n) for n in names]
-            yield pa.record_batch(columns, names=[("_spans" if n == "_later" else n) for n in names])
+            yield pa.record_batch([batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(spans, _SPANS)], names=["doc_id", "text", "removed"])
 
     return run
 
 
-_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-
-
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs(doc_id, text): doc_id, text without later copies, removed (spans of the original text in code points).
 
@@ -137,8 +155,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     first = own.groupBy("digest").agg(F.min("rank").alias("first"), F.max("rank").alias("last")).filter("first < last").drop("last")
     later = own.join(first, "digest").filter("rank > first").groupBy("rank").agg(F.collect_set("digest").alias("_later"))
     joined = ranked.join(later, F.col("_rank") == F.col("rank"), "left").select("doc_id", "text", "_later")
-    out = joined.mapInArrow(_cutter(min_words), "doc_id long, text string, _spans array<struct<start:long,end:long>>")
-    return out.withColumnRenamed("_spans", "removed")
+    return joined.mapInArrow(_cutter(min_words), "doc_id long, text string, removed array<struct<start:long,end:long>>")
 
 
 def op5_substring_dedup(spark, sf_dir):

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from cinderfind.llm import substring_dedup as S
 
 
@@ -8,34 +10,57 @@ def sentence(rng, n=None):
     return " ".join(words).capitalize() + "."
 
 
+def plain_windows(text):
+    """Windows as word tuples, in plain Python."""
+    words, starts = [], set()
+    for line in text.lower().split("\n"):
+        starts.add(len(words))
+        words += line.split()
+    begins = [i for i, w in enumerate(words) if i in starts or S._words()[w] % S.CUT == 0]
+    out = []
+    for i in begins:
+        end = next((b for b in [*begins, len(words)] if b >= i + S.WINDOW), len(words))
+        out.append((i, end, tuple(words[i:end])))
+    return out, len(words)
+
+
 def brute(rows):
-    """The same rule over sets that are kept in memory."""
     first = {}
     for i, t in rows:
-        rank = i if i is not None else 1 << 63
-        _, norm, count = S.units(t or "")
-        for d, _ in S.digests(norm, count):
-            first[d] = min(first.get(d, rank), rank)
+        for *_, w in plain_windows(t or "")[0]:
+            first[w] = min(first.get(w, 1 << 63), i if i is not None else 1 << 63)
     out = []
     for i, t in rows:
         rank = i if i is not None else 1 << 63
-        _, norm, count = S.units(t or "")
-        spans = S.cut(t, {d for d, _ in S.digests(norm, count) if first[d] < rank}) if t else []
-        out.append((i, spans))
+        found, n = plain_windows(t or "")
+        copied, seen = [False] * n, set()
+        for a, b, w in found:
+            if first[w] < rank or w in seen:
+                copied[a:b] = [True] * (b - a)
+            seen.add(w)
+        runs, a = [], None
+        for k, c in enumerate([*copied, False]):
+            if c and a is None:
+                a = k
+            elif not c and a is not None:
+                if k - a >= S.MIN_WORDS:
+                    runs.append((a, k))
+                a = None
+        out.append((i, t, runs))
     return out
 
 
 def corpus(seed=3):
     rng = random.Random(seed)
     text = lambda n: " ".join(sentence(rng) for _ in range(n))
-    passage = " ".join(sentence(rng) for _ in range(7))
+    passage = " ".join(text(9).split()[3:60])  # begins and ends inside sentences
     heading = "Same short heading here."
     rows = [(i, heading + "\n" + text(12)) for i in range(40)]
-    for i in (5, 9, 23):  # in the middle of a sentence
+    for i in (5, 9, 23):
         words = rows[i][1].split(" ")
         at = len(words) // 2
         rows[i] = (i, " ".join(words[:at]) + " " + passage + " " + " ".join(words[at:]))
-    rows += [(50, rows[2][1]), (51, None), (52, ""), (None, rows[3][1]), (2, rows[2][1]), (60, "Again and again we say this very thing here.\n" * 60)]
+    rows += [(50, rows[2][1]), (51, None), (52, ""), (53, " \n "), (None, rows[3][1]), (2, rows[2][1]), (60, "Again and again we say this very thing here.\n" * 60)]
     return rows, passage
 
 
@@ -43,7 +68,16 @@ def test_against_brute_force(spark):
     rows, passage = corpus()
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, removed string")
     got = S.dedup(df).collect()
-    assert sorted(((r.doc_id, [tuple(s) for s in r.removed]) for r in got), key=str) == sorted(brute(rows), key=str)
+    want = []
+    for i, t, runs in brute(rows):
+        at, p = [], 0
+        for w in (t or "").split():
+            p = t.index(w, p)
+            at.append(p)
+            p += len(w)
+        at.append(len(t or ""))
+        want.append((i, [(at[a] if a else 0, at[b]) for a, b in runs]))
+    assert sorted(((r.doc_id, [tuple(s) for s in r.removed]) for r in got), key=str) == sorted(want, key=str)
     original = {i: t for i, t in rows}
     for r in got:
         t = original[r.doc_id]
@@ -51,8 +85,8 @@ def test_against_brute_force(spark):
             t = t[:a] + t[b:]
         assert t == r.text
     by = {r.doc_id: r for r in got}
-    inner = ". ".join(passage.split(". ")[1:])
-    assert inner in by[5].text and inner not in by[9].text and inner not in by[23].text
+    middle = " ".join(passage.split()[16:40])
+    assert middle in by[5].text and middle not in by[9].text and middle not in by[23].text
     assert not by[2].removed and by[50].text == "" and by[None].text == "" and by[51].text is None
     assert all(not by[i].removed for i in range(40) if i not in (9, 23))  # clean, and its short heading stays
     assert by[60].text.count("Again") <= 2
@@ -62,9 +96,15 @@ def test_empty(spark):
     assert S.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_units_cover_the_text():
+def test_digests_are_those_of_words():
     rng = random.Random(1)
-    for _ in range(300):
-        t = "".join(rng.choice(["a", "B ", ". ", "\n", " \n ", "Éa", "word ", "!", "  ", "ß"]) for _ in range(rng.randrange(30)))
-        at, norm, count = S.units(t)
-        assert at[0] == 0 and at[-1] == len(t) and len(norm) == len(count) == len(at) - 1
+    texts = ["".join(rng.choice(["a ", "B ", "\n", "Éa ", "word ", "x! ", "  ", "ß "]) for _ in range(rng.randrange(120))) for _ in range(200)]
+    known = {}
+    for t in [*texts, *texts[:20]]:
+        begin, end, digest, n = S.windows(t)
+        plain, m = plain_windows(t)
+        assert n == m and [(a, b) for a, b, _ in plain] == list(zip(begin, end))
+        for d, (*_, w) in zip(digest, plain):
+            assert known.setdefault(w, d) == d
+    assert len(set(known.values())) == len(known)
+    assert len(S.windows("word " * 100_000)[0]) > 0 and np.all(S.windows("")[0] == 0)

@@ -53,6 +53,13 @@ def write(index: Index, path: str, buckets: int | None = None) -> None:
     index.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
 
 
+def pruned(index: Index, units: DataFrame) -> Index:
+    """The index with the postings of the queries' terms alone. The terms (as many as the queries have words) become
+    literals, so the scan skips files and row groups by their range of terms."""
+    terms = [r[0] for r in units.select(F.explode("tokens")).distinct().collect()]
+    return Index(index.postings.filter(F.col("term").isin(terms)), index.lengths)
+
+
 def term_df(index: Index) -> DataFrame:
     return index.postings.select("term", "chunk_id").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 

@@ -148,10 +148,11 @@ class Catalog:
 
     def search_lexical(self, queries: DataFrame, k: int = 10, where: dict | None = None, scope: Scope | None = None) -> DataFrame:
         """(query_id, chunk_id, score, rank) for (query_id, text): active chunks of documents in filter and scope."""
-        index = lexical.read(self.spark, f"{self.path}/lexical")
+        units = lexical.plain_units(queries)
+        index = lexical.pruned(lexical.read(self.spark, f"{self.path}/lexical"), units)
         docs = self.documents.read().filter(predicate(where, scope)).select("doc_id")
         eligible = self.chunks.read().filter("active").join(docs, "doc_id", "left_semi")
-        return lexical.search(index, lexical.plain_units(queries), k, eligible)
+        return lexical.search(index, units, k, eligible)
 
 
 __all__ = ["Catalog", "LexicalUnavailable", "changed", "find", "get_in_order", "last_wins", "predicate", "stale", "upserted"]

@@ -115,3 +115,12 @@ def test_analyze(spark, text, kind, ids):
     assert row.lexical_weight == (3.0 if kind in ("identifier", "phrase") else 1.0)
     with pytest.raises(ValueError):
         analyze(spark.createDataFrame([(text,)], "text string"), lexical_boost=0)
+
+
+def test_a_written_index_is_pruned(spark, index, tmp_path):
+    lexical.write(index, str(tmp_path / "i"), 2)
+    units = lexical.plain_units(spark.createDataFrame([(0, "certificate rotation")], "query_id int, text string"))
+    small = lexical.pruned(lexical.read(spark, str(tmp_path / "i")), units)
+    assert "In(term" in small.postings._jdf.queryExecution().toString()
+    key = lambda df: sorted((r.chunk_id, round(r.score, 9)) for r in df.collect())
+    assert key(lexical.score(small, units)) == key(lexical.score(index, units))

@@ -93,14 +93,14 @@ def dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORD
     docs = docs.drop("removed")
     spans = removed_lines(docs, min_lines, min_words)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(sys.maxsize)), F.xxhash64(F.coalesce("text", F.lit("")))
-    joined = docs.withColumns({"_doc": key[0], "_hash": key[1]}).join(spans.withColumnsRenamed({"doc": "_doc", "hash": "_hash", "spans": "removed"}), ["_doc", "_hash"], "left")
+    joined = docs.withColumns({"_cf_doc": key[0], "_cf_hash": key[1]}).join(spans.withColumnsRenamed({"doc": "_cf_doc", "hash": "_cf_hash", "spans": "removed"}), ["_cf_doc", "_cf_hash"], "left")
     lines = F.split("text", "\n")
     # the kept lines are those between the spans: slices, not a test of each line against each span
     starts = F.concat(F.array(F.lit(0)), F.transform("removed", lambda s: s["end"]))
-    ends = F.concat(F.transform("removed", lambda s: s["start"]), F.array(F.size("_lines")))
-    kept = F.flatten(F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda s: F.slice(F.col("_lines"), s["a"] + 1, F.greatest(s["b"] - s["a"], F.lit(0)))))
-    out = joined.withColumn("_lines", lines).withColumn("_kept", F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-    return out.select(*[F.col("_kept").alias("text") if c == "text" else F.col(c) for c in docs.columns], F.coalesce("removed", F.array()).cast("array<struct<start:int,end:int>>").alias("removed"))
+    ends = F.concat(F.transform("removed", lambda s: s["start"]), F.array(F.size("_cf_lines")))
+    kept = F.flatten(F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda s: F.slice(F.col("_cf_lines"), s["a"] + 1, F.greatest(s["b"] - s["a"], F.lit(0)))))
+    out = joined.withColumn("_cf_lines", lines).withColumn("_cf_kept", F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+    return out.select(*[F.col("_cf_kept").alias("text") if c == "text" else F.col(c) for c in docs.columns], F.coalesce("removed", F.array()).cast("array<struct<start:int,end:int>>").alias("removed"))
 
 
 def op1_line_dedup(spark, sf_dir):

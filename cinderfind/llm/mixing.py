@@ -153,9 +153,9 @@ def mix(docs: DataFrame, max_repeats: int = MAX_REPEATS, seed: int = 7) -> DataF
 
 def repeat_mixed(docs: DataFrame, max_repeats: int = MAX_REPEATS, seed: int = 7) -> DataFrame:
     """The documents, each as often as the mix takes it; one that it doesn't take is left out. All columns are kept."""
-    taken = mix(docs, max_repeats, seed).filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("copies").alias("_copies"))
-    out = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"]) & docs["source"].eqNullSafe(taken["_source"]))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    taken = mix(docs, max_repeats, seed).filter("copies > 0").select(F.col("doc_id").alias("_cf_id"), F.col("source").alias("_cf_source"), F.col("copies").alias("_cf_copies"))
+    out = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_cf_id"]) & docs["source"].eqNullSafe(taken["_cf_source"]))
+    return out.withColumn("_cf_copy", F.explode(F.sequence(F.lit(1), F.col("_cf_copies")))).select(*[docs[c] for c in docs.columns])
 
 
 def op7_mix_sources(spark, sf_dir):

@@ -18,7 +18,7 @@ def test_stages(spark, tmp_path):
     shared = line() + "\n" + line()
     rows += [(200, line() + "\n" + shared, "en", "s1", 0), (201, shared + "\n" + line(), "en", "s1", 0), (300, rows[1][1], "en", "s2", 0)]
     near = rows[2][1].split(" ")
-    near[5] = "changed"
+    near[0] = "changed"
     rows.append((301, " ".join(near).replace("\n", " "), "en", "s2", 0))
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(str(tmp_path / "documents.parquet"))

@@ -25,7 +25,8 @@ from cinderfind.llm._common import Workspace
 
 MAGIC = b"WARC/1.1\r\n"
 SPLIT = 8 << 20
-HEADER = 64 << 10  # no header block is longer
+HEADER = 64 << 10  # read beyond a split at first; a longer header block is read on
+_PART = re.compile(rb"(?:[!-9;-~]+(?::[^\r\n]*)?)?\r?\Z")  # what may stand at the end of cut data
 _FIELD = re.compile(rb"([!-9;-~]+):[ \t]*([^\r\n]*)\r\n")
 
 
@@ -53,6 +54,16 @@ def record(page_id, url, payload: bytes, refers_to=None, digest: str | None = No
     return MAGIC + b"\r\n".join(head) + b"\r\n\r\n" + http + payload + b"\r\n\r\n"
 
 
+def _cut(data: bytes, at: int) -> bool:
+    """Whether the header that seems to begin at a place is cut off by the end of the data."""
+    if not data.startswith(MAGIC, at):
+        return len(data) - at < len(MAGIC) and MAGIC.startswith(data[at:])
+    p = at + len(MAGIC)
+    while m := _FIELD.match(data, p):
+        p = m.end()
+    return _PART.match(data, p) is not None
+
+
 def _header(data: bytes, at: int) -> tuple[dict, int, int] | None:
     """(fields, where the block begins, where the next record begins) of the record header at a place, if it is one."""
     if not data.startswith(MAGIC, at):
@@ -60,7 +71,7 @@ def _header(data: bytes, at: int) -> tuple[dict, int, int] | None:
     p, fields = at + len(MAGIC), {}
     while not data.startswith(b"\r\n", p):
         m = _FIELD.match(data, p)
-        if not m or m.end() - at > HEADER:
+        if not m:
             return None
         fields[m[1].lower()] = m[2]
         p = m.end()
@@ -122,8 +133,17 @@ def _read(file: str, start: int, end: int) -> bytes:
         return f.read_at(end - start, start)
 
 
+def _read_on(file: str, base: int, data: bytes, at: int, last: int) -> bytes:
+    """The data from base on, with as much more as the header at a place needs."""
+    while _cut(data, at) and base + len(data) < last:
+        more = max(HEADER, len(data) - at)
+        data += _read(file, base + len(data), min(base + len(data) + more, last))
+    return data
+
+
 def _candidates(it):
-    """(file, size, start, end) -> (file, at, to): each candidate of a split, and where its chain leaves the split.
+    """(file, size, start, end) -> (file, at, to, n): each candidate of a split, where its chain leaves the split, and
+    after how many records.
 
     A chain that breaks (its next place has no header) ends in -1: nothing true lies behind it."""
     for batch in it:
@@ -135,18 +155,24 @@ def _candidates(it):
                 places.append(p)
                 p = data.find(MAGIC, p + 1)
             to: dict[int, int] = {}
+            n: dict[int, int] = {}
             for p in reversed(places):
+                data = _read_on(row["file"], base, data, p, last)
                 if head := _header(data, p):
+                    n[p] = 1 + n.get(head[2], 0)
                     nxt = head[2] + base
                     to[p] = nxt if nxt >= end else to.get(nxt - base, -1)
                     if nxt > last:
                         to[p] = -1
-            yield pa.record_batch([pa.array([row["file"]] * len(to), pa.string()), pa.array([p + base for p in to], pa.int64()), pa.array(list(to.values()), pa.int64())], names=["file", "at", "to"])
+            yield pa.record_batch([pa.array([row["file"]] * len(to), pa.string()), pa.array([p + base for p in to], pa.int64()), pa.array(list(to.values()), pa.int64()), pa.array([n[p] for p in to], pa.int64())], names=["file", "at", "to", "n"])
 
 
 def entries(ws: Workspace, splits: DataFrame) -> DataFrame:
-    """(file, at): where the true chain enters each split, by pointer jumping over the candidates' pointers."""
-    there = ws.save(splits.mapInArrow(_candidates, "file string, at long, to long").filter("to >= 0"), "candidates")
+    """(file, at): where the true chain enters each split, by pointer jumping over the candidates' pointers.
+
+    A file whose chain from 0 does not end where the file does, or has another number of records than its n (where
+    splits have one), is an error."""
+    there = ws.save(splits.mapInArrow(_candidates, "file string, at long, to long, n long").filter("to >= 0"), "candidates")
     places = there.select("file", "at").hint("merge")
     reached = places.filter("at = 0")
     # only a candidate that another split's chain leads to can be an entry
@@ -160,9 +186,19 @@ def entries(ws: Workspace, splits: DataFrame) -> DataFrame:
         ws.drop(f"jump-{step}"), ws.drop(f"reached-{step}")
         jumps, step = further, step + 1
         if jumps.isEmpty():
+            _whole(splits, there, reached)
             return reached
 
 
+def _whole(splits: DataFrame, there: DataFrame, reached: DataFrame) -> None:
+    walked = there.join(reached, ["file", "at"]).groupBy("file").agg(F.max("to").alias("to"), F.sum("n").alias("found"))
+    said = F.col("n") if "n" in splits.columns else F.lit(None).cast("long")
+    files = splits.select("file", "size", said.alias("n")).distinct().join(walked, "file", "left")
+    bad = files.filter(F.col("to").isNull() | (F.col("to") != F.col("size")) | (F.coalesce("n", "found") != F.col("found"))).first()
+    if bad:
+        raise ValueError(f"{bad.file}: its records reach to {bad.to} of {bad['size']} bytes; {bad.found} were found, {bad.n} written")
+
+
 def _records(it):
     """(file, size, at, end) -> the records of a split, from its true entry on."""
     number = lambda value: int(m[1]) if (m := re.search(rb"page:(-?\d+)", value)) else None
@@ -171,7 +207,11 @@ def _records(it):
             base, p, out, held = row["at"], 0, [], 0
             data = _read(row["file"], base, min(row["end"] + HEADER, row["size"]))
             while base + p < row["end"]:
-                fields, block, nxt = _header(data, p)
+                data = _read_on(row["file"], base, data, p, row["size"])
+                head = _header(data, p)
+                if head is None:
+                    raise ValueError(f"{row['file']} at {base + p}: no record begins here")
+                fields, block, nxt = head
                 if nxt > len(data):  # the last record of the split
                     data = _read(row["file"], base, min(base + nxt, row["size"]))
                 http, _, payload = data[block : nxt - 4].partition(b"\r\n\r\n")
@@ -198,8 +238,9 @@ def _rows(rows):
 
 
 def read_archives(ws: Workspace, files: DataFrame, split: int = SPLIT) -> DataFrame:
-    """The records of archives listed as (file, size): one row each, with the payload of responses."""
-    splits = files.filter("size > 0").select("file", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split).cast("long"))).alias("start"))
+    """The records of archives listed as (file, size) or (file, size, n), n the records that are there: one row each,
+    with the payload of responses."""
+    splits = files.filter("size > 0").select("file", "size", *[c for c in files.columns if c == "n"], F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split).cast("long"))).alias("start"))
     splits = splits.withColumn("end", F.least(F.col("start") + split, F.col("size")))
     spread = max(1, min(10_000, splits.count()))
     splits = splits.repartition(spread, "file", "start")

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from cinderfind.llm import warc
@@ -52,3 +53,20 @@ def test_header():
     fields, block, nxt = warc._header(data, 0)
     assert nxt == len(data) and fields[b"warc-record-id"] == b"<urn:x-page:5>"
     assert warc._header(b"WARC/1.1\r\nno header", 0) is None and warc._header(data[:20], 0) is None
+
+
+def test_long_headers(spark):
+    rows = pages()[:20] + [(400 + i, "http://long/" + "\n" * 40_000 + "x" * (i * 50_000), f"p{i}") for i in range(3)]
+    assert read(spark, rows, 20_000) == brute(rows)
+
+
+def test_lost_records_are_an_error(spark, tmp_path):
+    ws = Workspace(spark, "warc-test")
+    data = [warc.record(i, "u", b"x" * 50) for i in range(4)]
+    for name, raw in (("whole", b"".join(data)), ("broken", data[0] + b"?" + data[1])):
+        (tmp_path / name).write_bytes(raw)
+        table = lambda n: spark.createDataFrame([(f"file://{tmp_path}/{name}", len(raw), n)], "file string, size long, n long")  # noqa: B023, E731
+        if name == "whole":
+            assert warc.read_archives(ws, table(4), 300).count() == 4
+        with pytest.raises(ValueError):
+            warc.read_archives(ws, table(5 if name == "whole" else 2), 300)

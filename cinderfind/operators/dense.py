@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,11 +28,14 @@ def topk(vectors: DataFrame, query: list[float], k: int = 5, where: Column | Non
 
 def topk_batch(vectors: DataFrame, queries: DataFrame, k: int = 5, vector: str = "embedding", key: str = "id") -> DataFrame:
     """(query_id, id, score, rank) for each (query_id, vector) of queries, in expressions. The queries are crossed with
-    the vectors in one broadcast loop, so they must be a stated, bounded set; ranks come from a per-query group limit."""
+    the vectors in a broadcast loop; more than MAX_QUERIES are parted by hash into blocks of about so many, each with a
+    loop of its own. Ranks come from a per-query group limit."""
+    blocks = -(-queries.count() // MAX_QUERIES)
     q = queries.select("query_id", V.unit(F.col("vector")).alias("_q"))
     v = vectors.select(F.col(key).alias("id"), V.unit(F.col(vector)).alias("_v"))
-    scored = v.crossJoin(F.broadcast(q.limit(MAX_QUERIES))).select("query_id", "id", V.clip(V.dot(F.col("_v"), F.col("_q"))).alias("score"))
-    return top(scored, k)
+    parts = [q] if blocks <= 1 else [q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)]
+    scored = [v.crossJoin(F.broadcast(p)).select("query_id", "id", V.clip(V.dot(F.col("_v"), F.col("_q"))).alias("score")) for p in parts]
+    return top(reduce(DataFrame.unionByName, scored), k)
 
 
 def topk_block(vectors: DataFrame, queries: DataFrame, k: int = 5, vector: str = "embedding", key: str = "id") -> DataFrame:

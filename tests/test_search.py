@@ -51,6 +51,15 @@ def test_dense_kernels_agree(spark, vectors):
     assert shape(dense.topk_batch(vectors, q, 3)) == shape(dense.topk_block(vectors, q, 3))
 
 
+def test_dense_batch_answers_every_query(spark, vectors, monkeypatch):
+    monkeypatch.setattr(dense, "MAX_QUERIES", 4)
+    q = spark.createDataFrame([(i, [1.0, i / 7, 0.5]) for i in range(11)], "query_id int, vector array<double>")
+    shape = lambda df: sorted((r.query_id, r.rank, r.id, round(r.score, 9)) for r in df.collect())
+    got = shape(dense.topk_batch(vectors, q, 3))
+    assert len(got) == 33 and got == shape(dense.topk_block(vectors, q, 3))
+    assert dense.topk_batch(vectors, q.limit(0), 3).count() == 0
+
+
 TEXTS = {
     "a": "the certificate rotation failed with INC-1104 and INC-1104", "b": "rotation certificate of the Héllo service", "c": "certificate rotation runbook",
     "d": "1104 inc reversed", "e": "nothing of note", "f": "certificate certificate certificate", "g": "",

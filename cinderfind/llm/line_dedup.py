@@ -9,7 +9,7 @@ the union of its first and its last 2^k lines, both of which the intervals of ro
 members over all rounds is just what maximal runs cover, and it is deleted.
 
 Runs of MIN_LINES lines at least count (that is, rounds from log2 MIN_LINES on, and MIN_LINES is a power of two), or
-single lines of MIN_WORDS words at least: headings and boilerplate that stand alone are left in place.
+single lines of MIN_WORDS words at least: only a line of one word, such as a bullet or a bracket, may stand alone again.
 
 A hot line, or a hot pair of lines, is one row after map-side combination; where ranks are joined back to suffixes, the
 hot side is streamed against single rows, and adaptive execution splits it.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from cinderfind.llm._common import Workspace
 
 MIN_LINES = 2
-MIN_WORDS = 25
+MIN_WORDS = 2
 
 
 def line_id(line: Column) -> Column:

@@ -51,3 +51,9 @@ def test_nulls_repeats_and_clashing_columns(spark):
 def test_long_run_in_one_document(spark):
     got = line_dedup.dedup(spark.createDataFrame([(1, "\n".join(["same"] * 500))], "doc_id long, text string")).first()
     assert got.text == "same" and [tuple(s) for s in got.removed] == [(1, 500)]
+
+
+def test_short_single_lines(spark):
+    rows = [(i, f"own {i} a\nfoot of every page\nown {i} b\nby hand\nown {i} c\nword") for i in range(5)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: t if i == 0 else f"own {i} a\nown {i} b\nown {i} c\nword" for i, t in rows}

@@ -45,17 +45,40 @@ def test_mix(spark, monkeypatch):
         assert abs(r.copies - r.target / r.source_size) < 1 or r.size == 0
     for s in sizes:
         assert abs(taken[s] - want[s]) <= max(3, 0.02 * want[s])
-    assert {(r.doc_id, r.size) for r in got} >= {(9000, 0), (9001, 0), (9002, 3), (9003, 4), (None, 2)}
+    assert len(got) == len(rows)
+    assert {(r.doc_id, r.size) for r in got} >= {(9000, 0), (9001, 0), (9002, 3), (9003, 2), (None, 2)}
     out = mixing.repeat_mixed(df)
     assert out.columns == df.columns
-    count = {(r.doc_id, r.source): r.copies for r in got}
-    have = {}
+    count, have = {}, {}
+    for r in got:
+        count[r.doc_id, r.source] = count.get((r.doc_id, r.source), 0) + r.copies
     for r in out.collect():
         have[r.doc_id, r.source] = have.get((r.doc_id, r.source), 0) + 1
-    rows_of = {}
-    for i, _, s, _ in rows:
-        rows_of[i, s] = rows_of.get((i, s), 0) + 1
-    assert have == {k: n * rows_of[k] for k, n in count.items() if n}
+    assert have == {k: n for k, n in count.items() if n}
+
+
+def test_rows_without_ids_or_words(spark):
+    """Each row comes back, also of a hot null id, of equal rows, and of a source whose texts are all empty."""
+    rows = [(None, f"text {i} of its own", "s1") for i in range(20)] + [(None, "same", "s1")] * 30 + [(1, "", "e"), (2, None, "e"), (3, "one two", "s2"), (4, "w " * 200_000, "s2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df).collect()
+    assert len(got) == len(rows) and sum(r.doc_id is None for r in got) == 50
+    assert {r.source: r.target for r in got}["e"] == 0 and all(r.copies == 0 for r in got if r.source == "e")
+    same = [r.copies for r in got if r.source == "s1" and r.size == 1]
+    assert max(same) - min(same) <= 1
+    out = mixing.repeat_mixed(df).collect()
+    assert len(out) == sum(r.copies for r in got)
+    none = spark.createDataFrame([(1, "", "e"), (None, None, None)], df.schema)
+    assert [(r.target, r.copies) for r in mixing.mix(none).collect()] == [(0.0, 0)] * 2 and mixing.repeat_mixed(none).count() == 0
+
+
+def test_query(spark, tmp_path):
+    rows = [(i, "w " * (i % 30), f"s{i % 4}", "en") for i in range(200)] + [(7, "twice", "s1", "en")] * 2
+    spark.createDataFrame(rows, "doc_id long, text string, source string, target string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = mixing.op7_mix_sources(spark, str(tmp_path))
+    assert dict(got.dtypes) == {"doc_id": "bigint", "size": "bigint", "source_size": "bigint", "target": "double", "taken": "bigint"}
+    got = got.collect()
+    assert len(got) == 202 and all(r.taken <= 3 * r.size for r in got)
 
 
 def test_unbiased():

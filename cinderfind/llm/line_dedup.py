@@ -33,16 +33,24 @@ def line_id(line: Column) -> Column:
     return F.unhex(F.md5(F.trim(line)))
 
 
+def _place(hash_: Column) -> Column:
+    """A document's place in the order: doc_id; without one, one of the last 2^40 numbers by its text, so that rows
+    without an id are as many documents as they have texts, and no one group."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(sys.maxsize) - hash_.bitwiseAND((1 << 40) - 1))
+
+
 def removed_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc, text_hash, spans): for documents with later copies, the merged spans [start, end) of lines to delete.
 
-    doc is doc_id, null as the greatest; documents rank by it, and rows that share both doc_id and text are one.
+    Documents rank by doc_id, those without one after all others by their text's hash (doc is then such a place, see
+    _place). Rows that share both doc_id and text are one.
     """
     ws = Workspace(docs.sparkSession, "lines")
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(sys.maxsize)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select(_place(F.xxhash64(text)).alias("doc"), F.xxhash64(text).alias("hash"), text.alias("text"))
     # pos counts lines that aren't blank; line is the place among all
     full = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(F.trim(x).alias("line"), i.alias("at"))), lambda x: x["line"] != "")
-    lines = keyed.select("doc", F.xxhash64("text").alias("hash"), F.posexplode(full).alias("pos", "x"))
+    lines = keyed.select("doc", "hash", F.posexplode(full).alias("pos", "x"))
     lines = lines.select("doc", "hash", "pos", F.col("x.at").alias("line"), line_id(F.col("x.line")).alias("id"), F.size(F.split("x.line", r"\s+")).alias("words"))
     lines = ws.save(lines, "lines")
     shared = lines.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
@@ -92,8 +100,8 @@ def dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORD
     """
     docs = docs.drop("removed")
     spans = removed_lines(docs, min_lines, min_words)
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(sys.maxsize)), F.xxhash64(F.coalesce("text", F.lit("")))
-    joined = docs.withColumns({"_cf_doc": key[0], "_cf_hash": key[1]}).join(spans.withColumnsRenamed({"doc": "_cf_doc", "hash": "_cf_hash", "spans": "removed"}), ["_cf_doc", "_cf_hash"], "left")
+    hash_ = F.xxhash64(F.coalesce("text", F.lit("")))
+    joined = docs.withColumns({"_cf_doc": _place(hash_), "_cf_hash": hash_}).join(spans.withColumnsRenamed({"doc": "_cf_doc", "hash": "_cf_hash", "spans": "removed"}), ["_cf_doc", "_cf_hash"], "left")
     lines = F.split("text", "\n")
     # the kept lines are those between the spans: slices, not a test of each line against each span
     starts = F.concat(F.array(F.lit(0)), F.transform("removed", lambda s: s["end"]))

@@ -10,13 +10,30 @@ def sentence(rng, n=None):
     return " ".join(words).capitalize() + "."
 
 
+def winnowed(words):
+    """In plain Python: of each GAP pairs of words in a row, the last one of least hash."""
+    code, prime, n = [S._words()[w] for w in words], int(S._P), len(words)
+    low = (1 << max(1, n.bit_length())) - 1
+
+    def mixed(i):
+        x = (code[i] + (code[i + 1] * prime if i + 1 < n else 0)) % (1 << 64)
+        return ((x ^ (x >> 29)) * 0xBF58476D1CE4E5B9) % (1 << 64) & ~low
+
+    hashes = [mixed(i) for i in range(n)]
+    width = S.GAP
+    while width > 1 and width > n:
+        width //= 2
+    return {min(range(i, i + width), key=lambda k: (hashes[k], -k)) for i in range(n - width + 1)} if n else set()
+
+
 def plain_windows(text):
     """Windows as word tuples, in plain Python."""
     words, starts = [], set()
     for line in text.lower().split("\n"):
         starts.add(len(words))
         words += line.split()
-    begins = [i for i, w in enumerate(words) if i in starts or S._words()[w] % S.CUT == 0]
+    starts |= winnowed(words)
+    begins = [i for i in range(len(words)) if i in starts]
     out = []
     for i in begins:
         end = next((b for b in [*begins, len(words)] if b >= i + S.WINDOW), len(words))
@@ -92,6 +109,31 @@ def test_against_brute_force(spark):
     assert by[60].text.count("Again") <= 2
 
 
+def test_rows_without_ids(spark):
+    """They come last, in the order of their texts' hashes, and no two are one document."""
+    rng = random.Random(4)
+    passage = " ".join(sentence(rng) for _ in range(12))
+    rows = [(None, " ".join(sentence(rng) for _ in range(6)) + "\n" + passage) for _ in range(30)] + [(None, None), (None, "")]
+    got = S.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and sum(passage in (r.text or "") for r in got) == 1 and sum(len(r.removed) for r in got) == 29
+
+
+def test_every_passage_of_sixty_words(spark):
+    rng = random.Random(6)
+    for _ in range(200):
+        passage, other = sentence(rng, 60), [sentence(rng, 40) for _ in range(4)]
+        later = S.windows(f"{other[0]} {passage} {other[1]}")[2]
+        found = S.runs(f"{other[2]} {passage} {other[3]}", later)
+        assert len(found) == 1 and 40 <= found[0][0] <= 58 and found[0][1] <= 101
+
+
+def test_query(spark, tmp_path):
+    rows, _ = corpus()
+    spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, removed string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = S.op5_substring_dedup(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "text", "n_removed", "removed_chars", "removed"] and got.count() == len(rows)
+
+
 def test_empty(spark):
     assert S.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -1,15 +1,20 @@
 """Exact top-k inner products by a pivot-distance index.
 
-Inner products become distances by one more component: v' = (v, sqrt(M - |v|^2)), q' = (q, 0), with M the greatest
-squared norm; then |q' - v'|^2 = |q|^2 + M - 2 q.v, so the nearest are those with the highest scores. Each vector is
-keyed by its nearest pivot and its distance from it; the sorted keys are cut into annuli of bounded size, blocks of
-the index. A query first meets the annuli around its own distance from the pivots, until these hold k others; the
-k-th score bounds what can still get in. By the triangle inequality |q' - v'| >= |d(q', p) - d(v', p)|, so every
-annulus farther off than the bound is left out, and the rest are expanded. Results are exact: a bound only ever
-leaves out vectors whose score is below the k-th, with a margin for rounding.
-
-Pivots: PIVOTS rows of least hash (a bounded sample); they affect speed alone. A hot cell is many annuli, and many
-tasks. Annuli number MAX_BLOCKS + pivots + partitions at most, whatever the input, so their bounds are broadcast.
+Inner products become distances by one more component. Vectors fall into bands by norm, with M the greatest squared norm
+of a band; v' = (v, sqrt(M - |v|^2)), q' = (q, 0) and pivots (p, 0), so |q' - v'|^2 = |q|^2 + M - 2 q.v: the nearest of
+a band are those with the highest scores, and the added component is small within a band. Each vector is keyed by its
+band, its nearest pivot and its distance from it; the sorted keys are cut into annuli of bounded size, blocks of the
+index, and of each annulus the least and the greatest distance from each of REFS pivots are kept. A query first meets the
+annuli that may be nearest, until these hold k others; the k-th score bounds what can still get in. By the triangle inequality
+|q' - v'| >= |d(q', p) - d(v', p)| for every pivot, so an annulus whose distances from any of them are farther off than
+the bound is left out, and the rest are expanded. Results are exact: a bound only ever leaves out vectors whose score is
+below the k-th, with a margin for rounding.
+
+Pivots are chosen far from one another from a bounded sample (SAMPLE rows of least hash), the origin first; they affect
+speed alone. How much is left out depends on the vectors: of clustered ones most, of random directions in many
+dimensions next to nothing, whatever the index (see the README). A hot cell is many annuli, and many tasks. Annuli number
+MAX_BLOCKS + bands * pivots + partitions at most, whatever the input, so their bounds are broadcast; queries are routed in
+slices, so that a task holds CELLS numbers of query by annulus at once.
 """
 
 from __future__ import annotations
@@ -25,9 +30,12 @@ from cinderfind.llm._common import Workspace
 
 K = 20
 PIVOTS = 64
+REFS = 16  # pivots of which an annulus keeps bounds
+SAMPLE = 2048
 BLOCK = 1024
 MAX_BLOCKS = 1 << 16
-_BLOCKS = "block long, pivot int, lo double, hi double, n long, ids binary, vectors binary"
+CELLS = 1 << 22
+_BLOCKS = "block long, band int, pivot int, n long, low binary, high binary, ids binary, vectors binary"
 
 
 def quantize(vectors: DataFrame, dim: int | None = None) -> DataFrame:
@@ -42,86 +50,116 @@ def _matrix(column, dim: int) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dim)
 
 
-def _keyed(pivots: np.ndarray, top: float):
-    """(vec_id, v) -> nearest pivot and distance, in the extended space."""
+def spread(sample: np.ndarray, n: int) -> np.ndarray:
+    """The origin, and of a sample up to n - 1 rows each as far as can be from those before it."""
+    out = [np.zeros(sample.shape[1])]
+    gap = (sample * sample).sum(1)
+    while len(out) < n and len(gap) and gap.max() > 0:
+        out.append(sample[gap.argmax()])
+        gap = np.minimum(gap, ((sample - out[-1]) ** 2).sum(1))
+    return np.array(out)
+
+
+def _apart(v: np.ndarray, tops: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Distances of extended vectors from the pivots, by rows; tops: the M of each row's band."""
+    return np.sqrt(np.maximum(tops[:, None] + (pivots * pivots).sum(1)[None] - 2 * v @ pivots.T, 0))
+
+
+def _band(v: np.ndarray) -> np.ndarray:
+    """Squared norms within a factor of the square root of 2 are a band."""
+    return np.floor(2 * np.log2(np.maximum((v * v).sum(1), 0.25))).astype(np.int32)
+
+
+def _keyed(pivots: np.ndarray, top: dict[int, float]):
+    """(vec_id, v) -> band, nearest pivot and distance from it."""
 
     def run(it):
-        dim = pivots.shape[1] - 1
         for batch in it:
-            v = _matrix(batch.column(1), dim)
-            ext = np.hstack([v, np.sqrt(np.maximum(top - (v * v).sum(1), 0))[:, None]])
-            d2 = (ext * ext).sum(1)[:, None] + (pivots * pivots).sum(1)[None] - 2 * ext @ pivots.T
-            near = d2.argmin(1)
-            dist = np.sqrt(np.maximum(((ext - pivots[near]) ** 2).sum(1), 0))
-            yield pa.record_batch([batch.column(0), pa.array(near.astype(np.int32)), pa.array(dist), pa.array([r.tobytes() for r in v], pa.binary())], names=["vec_id", "pivot", "dist", "v"])
+            v = _matrix(batch.column(1), pivots.shape[1])
+            band = _band(v)
+            d = _apart(v, np.array([top[b] for b in band.tolist()]), pivots)
+            near = d.argmin(1) if len(v) else np.zeros(0, int)
+            yield pa.record_batch([batch.column(0), pa.array(band), pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(v)), near]), pa.array([r.tobytes() for r in v], pa.binary())], names=["vec_id", "band", "pivot", "dist", "v"])
 
     return run
 
 
-def _cut(block: int):
-    """Rows of a partition sorted by (pivot, dist) -> annuli of one pivot and block rows at most."""
+def _banded(it):
+    for batch in it:
+        v = np.asarray(batch.column(0).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(batch.num_rows, -1)
+        yield pa.record_batch([pa.array(_band(v)), pa.array((v * v).sum(1))], names=["band", "norm2"])
+
+
+def _cut(block: int, pivots: np.ndarray, top: dict[int, float]):
+    """Rows of a partition sorted by (band, pivot, dist) -> annuli of one band and pivot and block rows at most."""
 
     def run(it):
         from pyspark import TaskContext
 
-        base, n, held, pivot = TaskContext.get().partitionId() << 32, 0, [], None
+        base, n, held, key = TaskContext.get().partitionId() << 32, 0, [], None
 
         def flush():
             nonlocal n, held
-            ids, dist, vecs = zip(*held)
+            ids, vecs = zip(*held)
             n += 1
-            out = pa.record_batch(
-                [pa.array([base + n]), pa.array([pivot], pa.int32()), pa.array([dist[0]]), pa.array([dist[-1]]), pa.array([len(ids)]), pa.array([np.array(ids, np.int64).tobytes()]), pa.array([b"".join(vecs)])],
+            d = _apart(np.frombuffer(b"".join(vecs)).reshape(len(vecs), -1), np.full(len(vecs), top[key[0]]), pivots[:REFS])
+            held = []
+            return pa.record_batch(
+                [pa.array([base + n]), pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([len(ids)]), pa.array([d.min(0).tobytes()]), pa.array([d.max(0).tobytes()]), pa.array([np.array(ids, np.int64).tobytes()]), pa.array([b"".join(vecs)])],
                 names=[x.split()[0] for x in _BLOCKS.split(", ")],
             )
-            held = []
-            return out
 
         for batch in it:
-            for vec_id, p, d, v in zip(*(batch.column(c).to_pylist() for c in ("vec_id", "pivot", "dist", "v"))):
-                if held and (p != pivot or len(held) == block):
+            for vec_id, b, p, v in zip(*(batch.column(c).to_pylist() for c in ("vec_id", "band", "pivot", "v"))):
+                if held and ((b, p) != key or len(held) == block):
                     yield flush()
-                pivot = p
-                held.append((vec_id, d, v))
+                key = b, p
+                held.append((vec_id, v))
         if held:
             yield flush()
 
     return run
 
 
-def _route(pivots: np.ndarray, top: float, bounds: dict[str, np.ndarray], k: int, first: bool):
-    """Queries -> packs for each block they must meet: (block, qids, vectors, floors). first: the nearest annuli that
-    hold k others; later: all within reach of the query's k-th score, but those."""
+def _route(pivots: np.ndarray, shared, k: int, first: bool):
+    """Queries -> packs for each block they must meet: (block, qids, vectors, floors). first: the annuli that may be
+    nearest and hold k others; later: all within reach of the query's k-th score, but those. shared: a broadcast of bounds."""
 
     def run(it):
-        dim = pivots.shape[1] - 1
-        for batch in it:
-            if not batch.num_rows:
-                continue
-            ids = batch.column("vec_id").to_numpy()
-            q = _matrix(batch.column("v"), dim)
-            ext = np.hstack([q, np.zeros((len(q), 1))])
-            dp = np.sqrt(np.maximum((ext * ext).sum(1)[:, None] + (pivots * pivots).sum(1)[None] - 2 * ext @ pivots.T, 0))
-            at = dp[:, bounds["pivot"]]
-            least = np.maximum(np.maximum(bounds["lo"][None] - at, at - bounds["hi"][None]), 0)
-            # nearest first: of annuli that the bound cannot tell apart, those of the nearer pivot
-            order = np.lexsort((at, least), axis=1)
-            have = np.cumsum(bounds["n"][order], axis=1)
-            home = np.zeros(least.shape, bool)
-            np.put_along_axis(home, order, (have - bounds["n"][order]) < k + 1, axis=1)
-            if first:
-                meets, floor = home, np.full(len(q), -np.inf)
-            else:
-                floor = batch.column("floor").to_numpy(zero_copy_only=False)
-                reach = np.sqrt(np.maximum((q * q).sum(1) + top - 2 * floor, 0))
-                meets = (least <= (reach * (1 + 1e-9) + 1e-6)[:, None]) & ~home
-            out = [[], [], [], []]
-            for b in np.flatnonzero(meets.any(0)):
-                rows = np.flatnonzero(meets[:, b])
-                for s in range(0, len(rows), 512):
-                    r = rows[s : s + 512]
-                    out[0].append(int(bounds["block"][b])), out[1].append(ids[r].tobytes()), out[2].append(q[r].tobytes()), out[3].append(floor[r].tobytes())
-            yield pa.record_batch([pa.array(out[0], pa.int64()), *(pa.array(x, pa.binary()) for x in out[1:])], names=["block", "qids", "qs", "floors"])
+        bounds = shared.value
+        top, rows = bounds["top"], bounds["n"]
+        step = max(1, CELLS // max(1, len(rows)))
+        for whole in it:
+            for start in range(0, whole.num_rows, step):
+                batch = whole.slice(start, step)
+                ids = batch.column("vec_id").to_numpy()
+                q = _matrix(batch.column("v"), pivots.shape[1])
+                norm = (q * q).sum(1)
+                d = np.sqrt(np.maximum(norm[:, None] + (pivots[:REFS] ** 2).sum(1)[None] - 2 * q @ pivots[:REFS].T, 0))
+                least = np.zeros((len(q), len(rows)))
+                for r in range(d.shape[1]):
+                    np.maximum(least, bounds["low"][None, :, r] - d[:, r, None], out=least)
+                    np.maximum(least, d[:, r, None] - bounds["high"][None, :, r], out=least)
+                # the best score that an annulus may hold; nearest first means highest first, across bands
+                best = (norm[:, None] + top[None] - least * least) / 2
+                order = np.argsort(-best, axis=1, kind="stable")
+                before = np.cumsum(rows[order], axis=1) - rows[order]
+                home = np.zeros(least.shape, bool)
+                np.put_along_axis(home, order, before < k + 1, axis=1)
+                if first:
+                    meets, floor = home, np.full(len(q), -np.inf)
+                else:
+                    floor = batch.column("floor").to_numpy(zero_copy_only=False)
+                    reach = np.sqrt(np.maximum(norm[:, None] + top[None] - 2 * floor[:, None], 0))
+                    possible = norm[:, None] + top[None] - 2 * floor[:, None] >= -1e-6 * (1 + norm[:, None] + top[None])
+                    meets = (least <= reach * (1 + 1e-9) + 1e-6) & possible & ~home
+                out = [[], [], [], []]
+                for b in np.flatnonzero(meets.any(0)):
+                    at = np.flatnonzero(meets[:, b])
+                    for s in range(0, len(at), 512):
+                        r = at[s : s + 512]
+                        out[0].append(int(bounds["block"][b])), out[1].append(ids[r].tobytes()), out[2].append(q[r].tobytes()), out[3].append(floor[r].tobytes())
+                yield pa.record_batch([pa.array(out[0], pa.int64()), *(pa.array(x, pa.binary()) for x in out[1:])], names=["block", "qids", "qs", "floors"])
 
     return run
 
@@ -159,11 +197,13 @@ def _best(s: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = K, report: dict | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): for each (vec_id, v) of queries the k highest inner products with other rows
     of vectors, ties to the smaller vec_id. v: whole numbers as doubles, of one dimension (others raise an error).
 
-    Rows that share a vec_id are each a candidate; a query's own id is none. Empty tables give an empty result.
+    Rows that share a vec_id are each a candidate, and as queries one: its ranks go over the scores of all its rows, so a
+    candidate may come once for each. A query's own id is no candidate. Empty tables give an empty result.
+    report is filled with the number of annuli and the share of (query, annulus) that were met.
     """
     spark = vectors.sparkSession
     ws = Workspace(spark, "topk")
@@ -174,29 +214,37 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         return spark.createDataFrame([], schema)
     if stat.least != stat.most:
         raise ValueError("vectors differ in dimension")
-    dim, top = stat.most, stat.top
-    exact = top < 1 << 52  # sums of products of doubles are then exact
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").select("v").limit(PIVOTS).collect()
-    p = np.unique(np.array([r.v for r in sample], np.float64).reshape(-1, dim), axis=0)
-    pivots = np.hstack([p, np.sqrt(np.maximum(top - (p * p).sum(1), 0))[:, None]])
+    dim = stat.most
+    exact = stat.top < 1 << 52  # sums of products of doubles are then exact
+    top = {r.band: r.top for r in vectors.select("v").mapInArrow(_banded, "band int, norm2 double").groupBy("band").agg(F.max("norm2").alias("top")).collect()}
+    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").select("v").limit(SAMPLE).collect()
+    pivots = spread(np.array([r.v for r in sample], np.float64).reshape(-1, dim), PIVOTS)
     block = max(BLOCK, math.ceil(stat.n / MAX_BLOCKS))
-    keyed = vectors.mapInArrow(_keyed(pivots, top), "vec_id long, pivot int, dist double, v binary")
-    index = keyed.repartitionByRange("pivot", "dist", "vec_id").sortWithinPartitions("pivot", "dist", "vec_id").mapInArrow(_cut(block), _BLOCKS)
+    keyed = vectors.mapInArrow(_keyed(pivots, top), "vec_id long, band int, pivot int, dist double, v binary")
+    order = ["band", "pivot", "dist", "vec_id"]
+    index = keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_cut(block, pivots, top), _BLOCKS)
     index = ws.save(index, "index")
-    rows = index.select("block", "pivot", "lo", "hi", "n").orderBy("block").collect()  # see the module's note on their number
-    bounds = {c: np.array([r[c] for r in rows]) for c in ("block", "pivot", "lo", "hi", "n")}
+    rows = index.select("block", "band", "n", "low", "high").orderBy("block").collect()  # see the module's note on their number
+    bounds = {c: np.array([r[c] for r in rows]) for c in ("block", "n")} | {c: np.array([np.frombuffer(r[c]) for r in rows]) for c in ("low", "high")} | {"top": np.array([top[r.band] for r in rows])}
+    shared = spark.sparkContext.broadcast(bounds)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    met = []
 
     def meet(routed: DataFrame, first: bool) -> DataFrame:
-        packs = routed.mapInArrow(_route(pivots, top, bounds, k, first), "block long, qids binary, qs binary, floors binary")
-        met = packs.join(index.select("block", "ids", "vectors").hint("merge"), "block")
-        return met.mapInArrow(_score(dim, k, exact), "query_id long, vec_id long, score long")
+        packs = routed.mapInArrow(_route(pivots, shared, k, first), "block long, qids binary, qs binary, floors binary")
+        if report is not None:
+            packs = ws.save(packs, f"packs-{first}")
+            met.append(packs.agg(F.sum(F.octet_length("qids") / 8)).first()[0] or 0)
+        both = packs.join(index.select("block", "ids", "vectors").hint("merge"), "block")
+        return both.mapInArrow(_score(dim, k, exact), "query_id long, vec_id long, score long")
 
     queries = ws.save(queries, "queries")
     near = ws.save(meet(queries, True).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).drop("rank"), "near")
     floors = near.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
     reaching = queries.join(floors, queries["vec_id"] == floors["query_id"], "left").select("vec_id", "v", F.coalesce(F.col("floor").cast("double"), F.lit(float("-inf"))).alias("floor"))
     found = near.unionByName(meet(reaching, False)).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    if report is not None:
+        report |= {"annuli": len(rows), "met": sum(met) / max(1, len(rows) * queries.count())}
     return found.select("query_id", "rank", "vec_id", "score")
 
 

@@ -29,6 +29,30 @@ def test_against_brute_force(spark, monkeypatch, scale):
     assert got == brute(rows, 20)
 
 
+def test_norms_and_clusters(spark, monkeypatch):
+    """Norms of a hundredfold range, exact; of clustered vectors less than half of the annuli are met."""
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    monkeypatch.setattr(topk, "CELLS", 100)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(240, 6)) * 10 ** rng.uniform(-1, 1, (240, 1))
+    df = topk.quantize(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>"))
+    assert {tuple(r) for r in topk.search(df, df.filter("vec_id % 20 = 0")).collect()} == brute([(i, r) for i, r in enumerate(x)], 20)
+    centres = rng.normal(size=(12, 32))
+    x = np.repeat(centres / np.linalg.norm(centres, axis=1, keepdims=True), 60, axis=0) + rng.normal(size=(720, 32)) * 0.02
+    df = topk.quantize(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>"))
+    report = {}
+    got = {tuple(r) for r in topk.search(df, df.filter("vec_id % 20 = 0"), report=report).collect()}
+    assert got == brute([(i, r) for i, r in enumerate(x)], 20) and report["met"] < 0.5
+
+
+def test_repeated_ids(spark, tmp_path):
+    """Each row is a candidate; as a query the rows of an id share its ranks."""
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.5, 0.25]), (1, [0.25, 0.5]), (2, [0.25, 0.25])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = sorted((r["rank"], r.vec_id, r.score) for r in topk.op2_pivot_topk(spark, str(tmp_path)).collect())
+    assert got == [(1, 1, 2048), (2, 1, 2048), (3, 1, 1024), (4, 1, 1024), (5, 2, 1024), (6, 2, 1024)]
+
+
 def test_few_and_none(spark):
     df = topk.quantize(spark.createDataFrame([(0, [1.0, 0.0], "x"), (1, [0.5, 0.5], "y")], "vec_id long, embedding array<float>, score string"))
     assert [tuple(r) for r in topk.search(df, df, 20).orderBy("query_id").collect()] == [(0, 1, 1, 2048), (1, 1, 0, 2048)]

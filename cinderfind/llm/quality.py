@@ -54,9 +54,8 @@ def features(text: str, mask: np.ndarray) -> np.ndarray:
 def _sampled(it):
     mask = np.zeros(BUCKETS, np.uint8)
     for batch in it:
-        texts = batch.column(1).to_pylist()
-        found = [features(t or "", mask).astype("<u2").tobytes() for t in texts]
-        yield pa.record_batch([batch.column(0), pa.array(found, pa.binary())], names=["y", "found"])
+        found = [features(t or "", mask).astype("<u2").tobytes() for t in batch.column(2).to_pylist()]
+        yield pa.record_batch([*batch.columns[:2], pa.array(found, pa.binary())], names=["doc_id", "y", "found"])
 
 
 @dataclass
@@ -124,7 +123,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     total = {r.y: r.n for r in usable.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     parts = [usable.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     chosen = F.broadcast(parts[0].union(parts[1]).distinct())  # 2 * per_class ids at most
-    rows = docs.join(chosen, "doc_id").select("y", "text").mapInArrow(_sampled, "y int, found binary").toPandas()
+    learnt = docs.join(chosen, "doc_id").select(F.col("doc_id").cast("string").alias("doc_id"), "y", "text").mapInArrow(_sampled, "doc_id string, y int, found binary")
+    rows = learnt.groupBy("doc_id", "y").agg(F.min("found").alias("found")).toPandas()  # one of an id's rows, however many it has
     y = rows["y"].to_numpy()
     if len(y) == 0:
         return Model(np.zeros(BUCKETS), 0.0, 0.0, 0.0)

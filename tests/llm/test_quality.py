@@ -62,3 +62,40 @@ def test_descent_separates():
     y = np.where(np.arange(200) % 2, 1.0, -1.0)
     w, bias = Q.descend(rows, y, np.ones(100), np.ones(200))
     assert all(np.sign(w[r].sum() / len(r) ** 0.5 + bias) == t for r, t in zip(rows, y))
+
+
+def test_descent_against_a_plain_solver():
+    """The dual's optimum by projected gradient on the whole matrix: same objective, weights and margins."""
+    rng = np.random.default_rng(4)
+    rows = [np.unique(rng.integers(0, 40, rng.integers(3, 12))) for _ in range(60)]
+    y = np.where(rng.random(60) < 0.5, 1.0, -1.0)
+    r, cost = rng.normal(size=40), np.where(y == 1, 0.5, 1.0)
+    x = np.zeros((60, 41))
+    for i, f in enumerate(rows):
+        x[i, f], x[i, 40] = r[f] / len(f) ** 0.5, 1
+    g = (x * y[:, None]) @ (x * y[:, None]).T
+    alpha, rate = np.zeros(60), 1 / np.linalg.eigvalsh(g)[-1]
+    for _ in range(20_000):
+        alpha = np.clip(alpha - rate * (g @ alpha - 1), 0, cost)
+    want = (alpha * y) @ x
+    w, bias = Q.descend(rows, y, r, cost, epochs=500)
+    primal = lambda v: v @ v / 2 + cost @ np.maximum(0, 1 - y * (x @ v))
+    got = np.append(w / r, bias)
+    assert abs(primal(got) - primal(want)) < 1e-2 * primal(want) and np.allclose(x @ got, x @ want, atol=0.05)
+
+
+def test_repeated_ids_are_learnt_once(spark):
+    rows, labels = corpus(200)
+    df, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    many = df.union(spark.createDataFrame([rows[3]] * 500, "doc_id long, text string"))
+    probe = [Q.features(t, np.zeros(Q.BUCKETS, np.uint8)) for _, t in rows[:20]]
+    a, b = Q.fit(df, lab), Q.fit(many, lab)
+    assert np.allclose([a.score(f) for f in probe], [b.score(f) for f in probe], atol=0.15)
+
+
+def test_query(spark, tmp_path):
+    rows, labels = corpus(60)
+    spark.createDataFrame([(i, t, "s") for i, t in rows] + [(None, None, None)], "doc_id long, text string, score string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = Q.op4_quality(spark, str(tmp_path))
+    assert dict(got.dtypes) == {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"} and got.count() == 61

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +64,16 @@ def sweep(tag: str | None = None) -> None:
 atexit.register(sweep)
 
 
+@contextmanager
+def swept():
+    """Drops, at its end, the tables of the workspaces that were made within: what read them has been written by then."""
+    before = set(map(id, _LIVE))
+    yield
+    for ws in [w for w in _LIVE if id(w) not in before]:
+        _LIVE.remove(ws)
+        ws.drop()
+
+
 def _union_find(it):
     """Edges of one partition -> (node, root) of its forest: as many edges as nodes at most."""
     parent: dict[int, int] = {}

@@ -1,4 +1,7 @@
 import re
+from pathlib import Path
+
+import pytest
 
 import corpus_pipeline as C
 
@@ -41,6 +44,28 @@ def test_stages(spark, tmp_path):
     assert sorted(map(str, again.drop("sequence_id", "offset").collect())) == sorted(map(str, seen["pack"].drop("sequence_id", "offset").collect()))
 
 
+@pytest.mark.parametrize("rows", [[], [(None, None, None, None, None)], [(1, "", "en", "s", 0), (1, "", "en", "s", 0), (None, "one text", "en", None, 8)]])
+def test_few_rows(spark, tmp_path, rows):
+    """Empty tables, null ids and sources, empty texts, and columns that clash with the operators' own."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(*r, "x", 1.5, "y") for r in rows], schema + ", removed string, score double, class_id string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = C.run(spark, str(tmp_path)).collect()
+    assert sorted(str(r.doc_id) for r in out) == sorted(str(r[0]) for r in rows if (r[1] or "").strip())
+
+
+def test_tables_go(spark, tmp_path):
+    from cinderfind.llm import _common
+
+    docs = spark.createDataFrame([(i, f"text {i} of its own words w{i} v{i}", "en", "s", 9) for i in range(20)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    before = len(_common._LIVE)
+    out = C.run(spark, str(tmp_path))
+    assert len(_common._LIVE) == before + 1 and {p.name for p in Path(_common._LIVE[-1].root.removeprefix("file://")).iterdir()} == {"pack"} and out.count() > 0
+
+
 def test_entry_registers():
     import __spark_entry__ as entry
 

@@ -9,13 +9,11 @@ pack       what is left is tokenized and packed into sequences of 2048 tokens
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinderfind.llm import line_dedup, mixing, packing, quality, simhash
-from cinderfind.llm._common import shared_dir
+from cinderfind.llm._common import Workspace, swept
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,11 +49,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in turn over documents; what each keeps is a table in the cluster's shared folder."""
+    """The stages in turn over documents. What each keeps is a table in the cluster's shared folder, which goes once the
+    next one is written; so do the stages' own tables. The last stays until the end of the process, or _common.sweep()."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    ws, before = Workspace(spark, "pipeline"), None
     for name, stage in STAGES:
-        kept = stage(spark, docs, sf_dir)
-        kept.write.parquet(f"{at}/{name}")
-        docs = spark.read.schema(kept.schema).parquet(f"{at}/{name}")
+        with swept():
+            docs = ws.save(stage(spark, docs, sf_dir), name)
+        if before:
+            ws.drop(before)
+        before = name
     return docs

@@ -14,7 +14,7 @@ from cinderfind.operators import chunking
 from cinderfind.operators.embed import BATCH, embed
 from cinderfind.sources.catalog import Catalog, changed, stale
 from cinderfind.sources.stores import VectorStore
-from cinderfind.sources.tables import duplicate_keys
+from cinderfind.sources.tables import duplicate_keys, staged
 
 RESERVED = set(DOCUMENT_COLUMNS)
 
@@ -38,9 +38,15 @@ def _without(json_text, names):
 
 
 def chunks_of(records: DataFrame, chunker: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Records -> catalog chunks. chunker takes (doc_id, text) and returns (doc_id, chunk_id, chunk_index, text[, section_path])."""
-    projected = records.select(F.col("id").alias("doc_id"), T.semantic_projection(F.col("semantic")).alias("text"))
-    cut = (chunker or chunking.packed)(projected)
+    """Records -> catalog chunks; whole records by default. chunker takes (doc_id, text, title, body) and returns
+    (doc_id, chunk_id, chunk_index, text[, section_path]). text is the projection; body the semantic field of that name,
+    or content or text, or else the projection; title the structured or semantic one, or else the id."""
+    text = T.semantic_projection(F.col("semantic"))
+    field = lambda *names: F.element_at(F.filter("semantic", lambda f: F.lower(f["label"]).isin(*names)), 1)["value"]
+    first = lambda *names: F.when(F.exists("semantic", lambda f: F.lower(f["label"]).isin(*names)), field(*names))
+    title = F.coalesce(F.try_variant_get(F.parse_json("structured"), "$.title", "string"), first("title"), F.col("id"))
+    projected = records.select(F.col("id").alias("doc_id"), text.alias("text"), title.alias("title"), F.coalesce(first("body", "content", "text"), text).alias("body"))
+    cut = (chunker or chunking.whole)(projected)
     if "section_path" not in cut.columns:
         cut = cut.withColumn("section_path", F.lit(None).cast("string"))
     return cut.select("chunk_id", "doc_id", "text", "chunk_index", "section_path", T.content_hash(F.col("text")).alias("content_hash"), F.lit(True).alias("active"))
@@ -94,7 +100,7 @@ class Pipeline:
         catalog, ids = self.catalog, docs.select("doc_id")
         # what a changed document says of its chunks is old in every space, also where their text stays
         touched = catalog.chunks.read().join(changed(catalog.documents.read(), docs), "doc_id", "left_semi").select("chunk_id")
-        touched = catalog.spark.createDataFrame(touched.collect(), "chunk_id string") if not touched.isEmpty() else touched.limit(0)
+        touched = staged(catalog.spark, catalog.chunks.path, touched)
         if not touched.isEmpty():
             catalog.invalidate(touched)
             for store in self.stores.values():
@@ -143,8 +149,7 @@ class Pipeline:
             store = self.stores[space.space_id]
             try:
                 # a table of its own: the model runs once, however often its rows are read
-                staged = f"{store.table.path}/_staged"
-                embed(vector_rows(old, catalog.documents.read()), provider, batch=self.batch_size).write.mode("overwrite").parquet(staged)
+                rows = staged(catalog.spark, store.table.path, embed(vector_rows(old, catalog.documents.read()), provider, batch=self.batch_size))
             except Exception:
                 if selection is not None:
                     self.router.record_failure(selection.reservation)
@@ -152,7 +157,6 @@ class Pipeline:
                     raise
                 out.errors.append(f"embedding failed in {space.space_id}")
                 return
-            rows = catalog.spark.read.parquet(staged)
             if selection is not None:
                 self.router.record_usage(int(tokens), reservation=selection.reservation)
             store.upsert(rows)

@@ -8,10 +8,9 @@ the queries' words), the postings stay where they are, and only matches are shuf
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinderfind.functions.text import tokens
@@ -30,8 +29,14 @@ class Index:
     lengths: DataFrame
 
 
-def build(chunks: DataFrame, key: str = "chunk_id", text: str = "text", fold: bool = False) -> Index:
+def build(chunks: DataFrame, key: str = "chunk_id", text: str = "text", fold: bool = False, units: DataFrame | None = None) -> Index:
+    """The index of chunks. units: with the postings of these queries' terms alone, which are picked out before they become rows."""
     terms = chunks.select(F.col(key).alias("chunk_id"), tokens(F.coalesce(F.col(text), F.lit("")), fold).alias("terms"))
+    if units is not None:
+        wanted = _terms(units)
+        placed = F.transform("terms", lambda t, i: F.struct(i.alias("pos"), t.alias("term")))
+        own = F.filter(placed, lambda p: p["term"].isin(wanted))
+        return Index(terms.select("chunk_id", F.inline(own)), terms.select("chunk_id", F.size("terms").alias("len")))
     return Index(terms.select("chunk_id", F.posexplode("terms").alias("pos", "term")), terms.select("chunk_id", F.size("terms").alias("len")))
 
 
@@ -56,8 +61,11 @@ def write(index: Index, path: str, buckets: int | None = None) -> None:
 def pruned(index: Index, units: DataFrame) -> Index:
     """The index with the postings of the queries' terms alone. The terms (as many as the queries have words) become
     literals, so the scan skips files and row groups by their range of terms."""
-    terms = [r[0] for r in units.select(F.explode("tokens")).distinct().collect()]
-    return Index(index.postings.filter(F.col("term").isin(terms)), index.lengths)
+    return Index(index.postings.filter(F.col("term").isin(_terms(units))), index.lengths)
+
+
+def _terms(units: DataFrame) -> list[str]:
+    return sorted(r[0] for r in units.select(F.explode("tokens")).distinct().collect())
 
 
 def term_df(index: Index) -> DataFrame:
@@ -86,22 +94,11 @@ def contains_units(queries: DataFrame, text: str = "text") -> DataFrame:
 def websearch_units(queries: DataFrame, text: str = "text") -> DataFrame:
     """Units of the web-search dialect: "or" parts alternatives, a leading minus excludes, quotes make phrases."""
 
-    def parse(query: str):
-        alt, unit, out = 0, 0, []
-        for m in re.finditer(r'(-?)"([^"]*)"|(\S+)', query or ""):
-            word = m[3]
-            if word is not None and word.lower() == "or":
-                alt += 1
-                continue
-            negative = bool(m[1]) or (word is not None and word.startswith("-"))
-            found = re.findall(r"[^\W_]+", (m[2] if word is None else word.lstrip("-")).lower())
-            if found:
-                out.append((alt, unit, negative, found))
-                unit += 1
-        return out
-
-    parsed = F.udf(parse, "array<struct<alt:int,unit:int,negative:boolean,tokens:array<string>>>")  # a few rows: the queries
-    return queries.select("query_id", F.explode(parsed(F.col(text))).alias("u")).select("query_id", "u.*")
+    part = F.posexplode(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r'(?U)-?"[^"]*"|\S+'), F.lit(0))).alias("unit", "part")
+    parts = queries.select("query_id", part).withColumn("or", F.lower("part") == "or")
+    alt = F.count_if("or").over(Window.partitionBy("query_id").orderBy("unit"))  # a query's words: a few rows
+    parts = parts.withColumn("alt", alt.cast("int")).filter(~F.col("or"))
+    return parts.select("query_id", "alt", "unit", F.startswith("part", F.lit("-")).alias("negative"), tokens(F.col("part")).alias("tokens")).filter(F.size("tokens") > 0)
 
 
 def _matches(index: Index, units: DataFrame) -> DataFrame:

@@ -175,13 +175,20 @@ class Retriever:
             charge = router.record_usage(tokens, reservation=option.reservation) if primary else None
             timings["embed"] = (time.perf_counter() - at) * 1000
             at = time.perf_counter()
-            rows = store.rows().filter(compile_filter(where, {}, F.parse_json("metadata"))).select("id", "unit")
-            q = store.spark.createDataFrame(list(zip(texts, vectors)), "query_id string, vector array<double>")
-            q = q.select("query_id", V.unit(F.col("vector")).alias("_q"))
-            scored = rows.crossJoin(F.broadcast(q)).select("query_id", "id", V.clip(V.dot(F.col("unit"), F.col("_q"))).alias("score"))
+            try:
+                rows = store.rows().filter(compile_filter(where, {}, F.parse_json("metadata"))).select("id", "unit")
+                q = store.spark.createDataFrame(list(zip(texts, vectors)), "query_id string, vector array<double>")
+                q = q.select("query_id", V.unit(F.col("vector")).alias("_q"))
+                scored = rows.crossJoin(F.broadcast(q)).select("query_id", "id", V.clip(V.dot(F.col("unit"), F.col("_q"))).alias("score"))
+                # dense_k rows a query are kept, and here: a store that fails must fail while there is a fallback
+                best = top(scored, self.config.dense_k).persist()
+                timings["dense_candidates"] = best.count()
+            except Exception as e:  # noqa: BLE001 - as above
+                errors.append(f"dense search in {option.space.space_id} failed: {type(e).__name__}")
+                continue
             timings["dense_search"] = (time.perf_counter() - at) * 1000
             usd = float(charge.usd) if charge is not None and charge.usd is not None else None
-            return top(scored, self.config.dense_k), option, option.is_fallback or n > 0, (tokens, usd)
+            return best, option, option.is_fallback or n > 0, (tokens, usd)
         return None, options[-1], False, None
 
 

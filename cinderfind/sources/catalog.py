@@ -9,8 +9,7 @@ from cinderfind.functions.text import content_hash
 from cinderfind.model import CHUNKS, DOCUMENT_COLUMNS, DOCUMENTS, EMBEDDED, LexicalUnavailable, Scope, Space
 from cinderfind.operators import lexical
 from cinderfind.plans.filters import compile_filter, compile_scope
-from cinderfind.sources.tables import Table, duplicate_keys, last_wins, upserted
-
+from cinderfind.sources.tables import Table, duplicate_keys, last_wins, staged, upserted
 
 
 def predicate(where: dict | None, scope: Scope | None, attributes: str = "attributes") -> Column:
@@ -103,7 +102,7 @@ class Catalog:
             raise ValueError("a chunk id comes twice")
         old = self.chunks.read()
         gone = old.join(docs, "doc_id", "left_semi").join(rows.select("chunk_id"), "chunk_id", "left_anti").select("chunk_id")
-        removed = self.spark.createDataFrame(gone.orderBy("chunk_id").collect(), "chunk_id string")
+        removed = staged(self.spark, self.chunks.path, gone).orderBy("chunk_id")
         self.chunks.commit(old.join(docs, "doc_id", "left_anti").select(*CHUNKS.names).unionByName(rows.select(*CHUNKS.names)))
         self.embedded.delete(removed)
         if index:
@@ -112,7 +111,7 @@ class Catalog:
 
     def delete_documents(self, ids: DataFrame) -> None:
         """With their chunks and those chunks' ledger rows."""
-        gone = self.chunks.read().join(ids, "doc_id", "left_semi").select("chunk_id")
+        gone = staged(self.spark, self.chunks.path, self.chunks.read().join(ids, "doc_id", "left_semi").select("chunk_id"))
         self.embedded.delete(gone)
         self.chunks.delete(ids.select("doc_id"))
         self.documents.delete(ids.select("doc_id"))

@@ -55,12 +55,12 @@ class Table:
         return name
 
     def vacuum(self) -> None:
-        """Drops every version but the current one."""
+        """Drops every version but the current one, and what was staged."""
         fs, root = self._fs(self.path)
         current = self.version()
         for status in fs.listStatus(root):
             name = status.getPath().getName()
-            if name.startswith("v-") and name != current:
+            if name.startswith("v-") and name != current or name == "_staged":
                 fs.delete(status.getPath(), True)
 
     def upsert(self, rows: DataFrame, order: str | None = None) -> None:
@@ -72,9 +72,18 @@ class Table:
         self.commit(self.read().join(ids.select(*ids.columns).distinct(), ids.columns, "left_anti"))
 
 
+def staged(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
+    """Rows as a table of their own below a path: made once, however often they are read, and not gathered anywhere.
+    It stays until Table.vacuum() of that path."""
+    at = f"{path.rstrip('/')}/_staged/{uuid.uuid4().hex}"
+    rows.write.parquet(at)
+    return spark.read.schema(rows.schema).parquet(at)
+
+
 def last_wins(rows: DataFrame, keys: list[str], order: str | None) -> DataFrame:
+    """One row for each key: the last by order, or without one the last to arrive (by partition, and there by place)."""
     if order is None:
-        return rows.dropDuplicates(keys)
+        rows, order = rows.withColumn("_arrived", F.monotonically_increasing_id()), "_arrived"
     w = Window.partitionBy(*keys).orderBy(F.desc(order))
     return rows.withColumn("_nth", F.row_number().over(w)).filter("_nth = 1").drop("_nth", order)
 

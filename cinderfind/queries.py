@@ -138,9 +138,10 @@ def meta_filter_multiop(spark, d):
     return _events(spark, d, {"k": {"$gt": 3, "$lte": 50}, "event_type": {"$in": ["click", "view"]}})
 
 
-@query("SELECT event_id, event_type FROM events WHERE false")
+@query("SELECT event_id, event_type FROM events WHERE json_extract(props, '$.k')::BIGINT = 5")
 def meta_filter_type_mismatch(spark, d):
-    return _events(spark, d, {"k": {"$in": ["1", True]}})
+    """A number is neither the text of its digits nor a truth value."""
+    return _events(spark, d, {"k": {"$in": ["1", True, 5.0]}})
 
 
 #: documents as catalog documents: source as tenant with gaps, language as visibility
@@ -214,7 +215,8 @@ def _index(spark, d):
 
 def _lexical(spark, d, texts, k, eligible=None, units=lexical.plain_units):
     q = spark.createDataFrame(list(enumerate(texts)), "query_id int, text string")
-    found = lexical.score(_index(spark, d), units(q))
+    u = units(q)
+    found = lexical.score(lexical.build(_t(spark, d, "documents"), "doc_id", units=u), u)
     if eligible is not None:
         found = found.join(eligible, "chunk_id", "left_semi")
     # ties in the last bits of a sum differ between engines, so ranks go by nine places
@@ -255,7 +257,8 @@ SELECT DISTINCT chunk_id FROM (SELECT chunk_id FROM e WHERE chunk_id NOT IN (SEL
 @query(_WEB)
 def lexical_websearch_match(spark, d):
     q = spark.createDataFrame([(0, "apache -the or mit")], "query_id int, text string")
-    return lexical.score(_index(spark, d), lexical.websearch_units(q)).select("chunk_id")
+    u = lexical.websearch_units(q)
+    return lexical.score(lexical.build(_t(spark, d, "documents"), "doc_id", units=u), u).select("chunk_id")
 
 
 @query(f"SELECT doc_id, {_TOK} AS terms FROM documents")
@@ -346,8 +349,7 @@ def _hybrid(spark, d, text, boost, scope=None):
     profile = analyze(q, lexical_boost=boost).select("query_id", "dense_weight", "lexical_weight")
     rows = docs.filter(compile_filter(merge_scope(None, scope), _kinds()))
     qv = q.select("query_id", V.hash_embed(T.tokens(F.col("text")), _DIM).alias("vector"))
-    near = dense.topk_batch(_bow(rows), qv, 10**9)
-    near = fusion.top(near.drop("rank").withColumn("by", F.round("score", 9)), 50, "by").select("query_id", "id", "score", "rank")
+    near = fusion.top(dense.scores(_bow(rows), qv).withColumn("by", F.round("score", 9)), 50, "by").select("query_id", "id", "score", "rank")
     ok = docs.filter(compile_scope(scope, F.col("tenant_id"), F.col("visibility"))).select(F.col("doc_id").alias("chunk_id"))
     lex = _lexical(spark, d, [text], 50, ok).withColumnRenamed("chunk_id", "id")
     hits = fuse(near, lex, profile, 10)
@@ -465,59 +467,90 @@ def tail_words(spark, d):
     return _t(spark, d, "documents").select("doc_id", T.tail_words(F.col("text"), 7).alias("tail"))
 
 
-#: documents have no blank lines, so packing joins each conversation's turns as paragraphs: within 300 words a text is whole
-@query(r"""WITH c AS (SELECT conv_id, string_agg(trim(text), chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id),
-n AS (SELECT conv_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS text, len(regexp_extract_all(text, '\S+')) AS words FROM c)
-SELECT conv_id::VARCHAR AS doc_id, text FROM n WHERE words <= 300 AND words > 0""")
-def chunk_packed_short(spark, d):
-    c = _conversations(spark, d)
-    return chunking.packed(c.filter(T.count_words(F.col("text")) <= 300), 300, 30).select("doc_id", "text")
-
-
 def _conversations(spark, d):
     turns = _t(spark, d, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("turn", F.trim("text").alias("text")))).alias("t"))
     return turns.select("doc_id", F.array_join(F.transform("t", lambda x: x["text"]), "\n\n").alias("text"))
 
 
-@query()
+_STRIP = "' ' || chr(9) || chr(10) || chr(13)"
+
+
+def _packed_sql(pieces: str, room: int, overlap: int) -> str:
+    """SQL that packs pieces(doc_id, head, text): paragraphs in turn, as operators.chunking.pack_paragraphs has it, into
+    k(doc_id, head, i, piece)."""
+    return rf"""{pieces},
+w AS (SELECT doc_id, head, trim(text, {_STRIP}) AS text, len(regexp_extract_all(text, '\S+')) AS n FROM pieces),
+p AS (SELECT doc_id, head, list_filter(list_transform(regexp_split_to_array(text, '\n\s*\n'), lambda x: trim(x, {_STRIP})), lambda x: x <> '') AS ps FROM w WHERE n > {room}),
+f AS (SELECT doc_id, head, ps, 0::BIGINT AS i, NULL::VARCHAR AS cur, 0::BIGINT AS size, []::VARCHAR[] AS done FROM p
+UNION ALL SELECT doc_id, head, ps, i + 1,
+  CASE WHEN n > {room} THEN NULL WHEN cur IS NULL THEN part WHEN size + n <= {room} THEN cur || chr(10) || chr(10) || part
+    WHEN {overlap} > 0 AND tn + n <= {room} THEN array_to_string(tail, ' ') || chr(10) || chr(10) || part ELSE part END,
+  CASE WHEN n > {room} THEN 0 WHEN cur IS NULL THEN n WHEN size + n <= {room} THEN size + n WHEN {overlap} > 0 AND tn + n <= {room} THEN tn + n ELSE n END,
+  CASE WHEN n > {room} THEN list_concat(done, CASE WHEN cur IS NULL THEN [] ELSE [cur] END,
+      list_transform(range(0, greatest(1, n - {overlap}), {room - overlap}), lambda a: array_to_string(ws[a + 1 : a + {room}], ' ')))
+    WHEN cur IS NOT NULL AND size + n > {room} THEN list_append(done, cur) ELSE done END
+  FROM (SELECT *, len(tail) AS tn FROM (SELECT *, len(ws) AS n, cw[greatest(1, len(cw) - {overlap} + 1) : len(cw)] AS tail
+    FROM (SELECT *, regexp_extract_all(part, '\S+') AS ws, regexp_extract_all(coalesce(cur, ''), '\S+') AS cw FROM (SELECT *, ps[i + 1] AS part FROM f WHERE i < len(ps)))))),
+e AS (SELECT doc_id, head, CASE WHEN cur IS NULL THEN done ELSE list_append(done, cur) END AS out FROM f WHERE i = len(ps)
+  UNION ALL SELECT doc_id, head, [text] FROM w WHERE n > 0 AND n <= {room}),
+k AS (SELECT doc_id, head, unnest(range(len(out))) AS i, unnest(out) AS piece FROM e)"""
+
+
+@query(
+    "WITH RECURSIVE pieces AS (SELECT conv_id::VARCHAR AS doc_id, '' AS head, string_agg(trim(text), chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id)"
+    + _packed_sql("", 80, 10)
+    + " SELECT doc_id, doc_id || '::chunk-' || printf('%04d', i) AS chunk_id, i::INTEGER AS chunk_index, piece AS text FROM k"
+)
 def chunk_packed(spark, d):
-    return chunking.packed(_conversations(spark, d), 80, 10)
+    return chunking.packed(_conversations(spark, d), 80, 10).drop("section_path")
+
+
+#: documents under Markdown headings: a title, their text, and a section of their source
+_MD_SQL = rf"""WITH RECURSIVE parts AS (SELECT doc_id, 'Paper ' || doc_id AS title, trim(text, {_STRIP}) AS lead, '## Source' || chr(10) || coalesce(source, '') AS own FROM documents WHERE text IS NOT NULL),
+sec AS (SELECT doc_id, 1::BIGINT AS section, title, title AS section_path, lead AS content FROM parts UNION ALL SELECT doc_id, 2, 'Source', title || ' > Source', own FROM parts)"""
 
 
-_MD = "Intro line\n# Real Title\nlead\n## First\nbody one\n### Deep\nkept\n## Second\nbody two"
+def _papers(spark, d):
+    head = F.concat(F.lit("# Paper "), F.col("doc_id"), F.lit("\n"))
+    body = F.concat(head, F.col("text"), F.lit("\n## Source\n"), F.coalesce("source", F.lit("")))
+    return _t(spark, d, "documents").filter("text is not null").select("doc_id", body.alias("body"), F.lit("untitled").alias("title"))
 
 
-@query("""WITH s(section, title, section_path, content) AS (VALUES
-(0, 'fallback', 'fallback', 'Intro line'), (1, 'Real Title', 'Real Title', 'lead'),
-(2, 'First', 'Real Title > First', '## First' || chr(10) || 'body one' || chr(10) || '### Deep' || chr(10) || 'kept'),
-(3, 'Second', 'Real Title > Second', '## Second' || chr(10) || 'body two'))
-SELECT doc_id, section::BIGINT AS section, title, section_path, content || CASE WHEN section = 3 THEN ' ' || lang ELSE '' END AS content FROM documents, s""")
+@query(_MD_SQL + " SELECT doc_id, section, title, section_path, trim(content, " + _STRIP + ") AS content FROM sec WHERE content <> ''")
 def markdown_sections(spark, d):
-    docs = _t(spark, d, "documents").select("doc_id", F.concat(F.lit(_MD + " "), F.col("lang")).alias("body"), F.lit("fallback").alias("title"))
-    return chunking.sections(docs).drop("doc_title")
+    return chunking.sections(_papers(spark, d)).drop("doc_title")
 
 
-@query()
+@query(
+    _MD_SQL
+    + rf""", pieces AS (SELECT doc_id::VARCHAR AS doc_id, section || '|' || section_path AS head, trim(content, {_STRIP}) AS text FROM sec WHERE content <> '' AND section = 1)"""
+    + _packed_sql("", 200 - 4, 20)
+    + r""" SELECT doc_id, 'Paper ' || doc_id AS section_path, 'Title: Paper ' || doc_id || chr(10) || 'Content: ' || piece AS text FROM k
+UNION ALL SELECT doc_id::VARCHAR, section_path, 'Title: Paper ' || doc_id || chr(10) || 'Section: Source' || chr(10) || 'Content: ' || trim(content, """ + _STRIP + ") FROM sec WHERE section = 2"
+)
 def chunk_markdown(spark, d):
-    docs = _t(spark, d, "documents").select("doc_id", F.concat(F.lit("# Doc\n## Text\n"), F.col("text")).alias("body"), F.lit("t").alias("title"))
-    return chunking.markdown(docs, 200, 20)
+    return chunking.markdown(_papers(spark, d), 200, 20).select("doc_id", "section_path", "text")
 
 
-@query("SELECT doc_id, lang AS title, source AS tenant_id, n_chars AS size FROM documents")
+@query(f"SELECT doc_id, lang AS title, source AS tenant_id, n_chars AS size, trim(text, {_STRIP}) AS body FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL")
 def frontmatter_parse(spark, d):
     import pyarrow as pa
 
     from cinderfind.sources.adapters import frontmatter
 
+    schema = pa.schema([("doc_id", pa.int64()), ("title", pa.string()), ("tenant_id", pa.string()), ("size", pa.int64()), ("body", pa.string())])
+
     def run(it):
         for b in it:
             out = []
             for row in b.to_pylist():
-                meta, _ = frontmatter(f"---\ntitle: {row['lang']}\n# note\ntenant_id: '{row['source']}'\nsize: {row['n_chars']}\nnested:\n  a: 1\n---\nbody")
-                out.append({"doc_id": row["doc_id"], "title": meta["title"], "tenant_id": meta["tenant_id"], "size": meta["size"]})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("doc_id", pa.int64()), ("title", pa.string()), ("tenant_id", pa.string()), ("size", pa.int64())]))
+                meta, body = frontmatter(row["text"])
+                out.append({"doc_id": row["doc_id"], "title": meta["title"], "tenant_id": meta["tenant_id"], "size": meta["size"], "body": body})
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    return _t(spark, d, "documents").select("doc_id", "lang", "source", "n_chars").mapInArrow(run, "doc_id long, title string, tenant_id string, size long")
+    note = F.format_string("---\ntitle: %s\n# note\ntenant_id: '%s'\nsize: %d\nnested:\n  a: 1\n---\n%s", "lang", "source", "n_chars", "text")
+    docs = _t(spark, d, "documents").filter("text is not null and lang is not null and source is not null")
+    return docs.select("doc_id", note.alias("text")).mapInArrow(run, "doc_id long, title string, tenant_id string, size long, body string")
 
 
 @query("SELECT doc_id::VARCHAR AS doc_id, lang AS title, source AS tenant_id, n_chars AS size FROM documents")

@@ -578,29 +578,10 @@ def upsert_last_wins(spark, d):
     return upserted(old, new, ["doc_id"], "_ord")
 
 
-@query("SELECT doc_id, lang FROM documents WHERE doc_id % 4 <> 0")
-def delete_ids(spark, d):
-    old, new = _old_new(spark, d)
-    return old.join(new.select("doc_id"), "doc_id", "left_anti").select("doc_id", "lang")
-
-
 def _chunks(spark, d):
     return _t(spark, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("chunk_id"), F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("chunk_index"), "text", T.content_hash(F.col("text")).alias("content_hash"), (F.col("turn") % 5 != 4).alias("active"))
 
 
-@query("SELECT conv_id || ':' || turn AS chunk_id FROM conversations WHERE conv_id % 2 = 0 AND turn > 1")
-def replace_chunks_removed(spark, d):
-    old = _chunks(spark, d)
-    new = old.filter("doc_id % 2 = 0 and chunk_index <= 1")
-    return old.filter("doc_id % 2 = 0").join(new.select("chunk_id"), "chunk_id", "left_anti").select("chunk_id")
-
-
-@query("SELECT conv_id || ':' || turn AS chunk_id FROM conversations WHERE conv_id % 3 <> 0")
-def cascade_delete(spark, d):
-    gone = _chunks(spark, d).select("doc_id").distinct().filter("doc_id % 3 = 0")
-    return _chunks(spark, d).join(gone, "doc_id", "left_anti").select("chunk_id")
-
-
 _SPACE = Space("hash", "bow", 32)
 
 
@@ -631,12 +612,6 @@ def metadata_changed(spark, d):
     return C.changed(docs, new)
 
 
-@query("SELECT conv_id || ':' || turn AS chunk_id FROM conversations WHERE conv_id % 3 <> 1 AND turn <> 0")
-def invalidate(spark, d):
-    gone = _chunks(spark, d).filter("chunk_index = 0").select("chunk_id")
-    return _state(spark, d).join(gone, "chunk_id", "left_anti").select("chunk_id")
-
-
 @query("SELECT count(*) FILTER (conv_id % 3 = 1 OR turn % 4 = 2) AS embedded, count(*) FILTER (NOT (conv_id % 3 = 1 OR turn % 4 = 2)) AS skipped FROM conversations WHERE turn % 5 <> 4")
 def ingest_counts(spark, d):
     active = _chunks(spark, d).filter("active").select("chunk_id")
@@ -689,3 +664,6 @@ def ledger_expire(spark, d):
     u = _usage(spark, d)
     now = u.agg((F.min("expires_at") + F.expr("INTERVAL 1 DAY")).alias("now"))
     return usage.expired(u.crossJoin(F.broadcast(now)), F.col("now")).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+from cinderfind import table_queries  # noqa: E402, F401 - registers its own

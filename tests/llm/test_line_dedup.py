@@ -57,3 +57,16 @@ def test_short_single_lines(spark):
     rows = [(i, f"own {i} a\nfoot of every page\nown {i} b\nby hand\nown {i} c\nword") for i in range(5)]
     got = {r.doc_id: r.text for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: t if i == 0 else f"own {i} a\nown {i} b\nown {i} c\nword" for i, t in rows}
+
+
+def test_rows_without_ids_and_long_texts(spark, tmp_path):
+    """Rows without an id come last, each a document of its own; a text of 3,000 lines loses what an earlier one has."""
+    run = "\n".join(f"a shared line number {i}" for i in range(1500))
+    rows = [(1, run), (2, "\n".join(f"own line {i} of two" for i in range(1500)) + "\n" + run)]
+    rows += [(None, f"own first line {i}\nthis line is in all\nand so is this") for i in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = line_dedup.op1_line_dedup(spark, str(tmp_path)).collect()
+    assert len(got) == 32
+    by = {r.doc_id: r for r in got if r.doc_id}
+    assert by[1].removed_lines == 0 and by[2].removed_lines == 1500 and "shared" not in by[2].text
+    assert sorted(r.removed_lines for r in got if r.doc_id is None) == [0] + [2] * 29

@@ -13,8 +13,9 @@ below the k-th, with a margin for rounding.
 Pivots are chosen far from one another from a bounded sample (SAMPLE rows of least hash), the origin first; they affect
 speed alone. How much is left out depends on the vectors: of clustered ones most, of random directions in many
 dimensions next to nothing, whatever the index (see the README). A hot cell is many annuli, and many tasks. Annuli number
-MAX_BLOCKS + bands * pivots + partitions at most, whatever the input, so their bounds are broadcast; queries are routed in
-slices, so that a task holds CELLS numbers of query by annulus at once.
+MAX_BLOCKS + bands * pivots + partitions at most, whatever the input, so their bounds are broadcast. Annuli are joined by
+strips of STRIP, and queries by packs of PACK, both as small whole numbers where they are such: so what is shuffled is the
+queries times the strips they meet. A task holds one pack and one strip, CELLS scores, and BATCH bytes of packs at once.
 """
 
 from __future__ import annotations
@@ -34,8 +35,11 @@ REFS = 16  # pivots of which an annulus keeps bounds
 SAMPLE = 2048
 BLOCK = 1024
 MAX_BLOCKS = 1 << 16
-CELLS = 1 << 22
-_BLOCKS = "block long, band int, pivot int, n long, low binary, high binary, ids binary, vectors binary"
+CELLS = 1 << 19
+STRIP = 16  # annuli that are stored and joined as one row
+PACK = 2048  # queries that meet a strip as one row
+BATCH = 8 << 20  # bytes of packs that a task hands over at once
+_STRIPS = "strip long, bands array<int>, sizes array<long>, low binary, high binary, ids binary, vectors binary"
 
 
 def quantize(vectors: DataFrame, dim: int | None = None) -> DataFrame:
@@ -90,103 +94,150 @@ def _banded(it):
         yield pa.record_batch([pa.array(_band(v)), pa.array((v * v).sum(1))], names=["band", "norm2"])
 
 
-def _cut(block: int, pivots: np.ndarray, top: dict[int, float]):
-    """Rows of a partition sorted by (band, pivot, dist) -> annuli of one band and pivot and block rows at most."""
+def _cut(block: int, pivots: np.ndarray, top: dict[int, float], kind: type):
+    """Rows of a partition sorted by (band, pivot, dist) -> strips of annuli, which are of one band and pivot and block rows at
+    most: STRIP annuli to a strip, and no more rows than STRIP * BLOCK or one annulus."""
 
     def run(it):
         from pyspark import TaskContext
 
-        base, n, held, key = TaskContext.get().partitionId() << 32, 0, [], None
+        base, n, held, key, strip = TaskContext.get().partitionId() << 32, 0, [], None, []
 
-        def flush():
-            nonlocal n, held
+        def annulus():
             ids, vecs = zip(*held)
+            held.clear()
+            v = np.frombuffer(b"".join(vecs)).reshape(len(vecs), -1)
+            d = _apart(v, np.full(len(vecs), top[key[0]]), pivots[:REFS])
+            strip.append((key[0], len(ids), d.min(0), d.max(0), np.array(ids, np.int64), v.astype(kind)))
+
+        def flush():
+            nonlocal n
             n += 1
-            d = _apart(np.frombuffer(b"".join(vecs)).reshape(len(vecs), -1), np.full(len(vecs), top[key[0]]), pivots[:REFS])
-            held = []
-            return pa.record_batch(
-                [pa.array([base + n]), pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([len(ids)]), pa.array([d.min(0).tobytes()]), pa.array([d.max(0).tobytes()]), pa.array([np.array(ids, np.int64).tobytes()]), pa.array([b"".join(vecs)])],
-                names=[x.split()[0] for x in _BLOCKS.split(", ")],
-            )
+            bands, sizes, *rest = zip(*strip)
+            strip.clear()
+            return pa.record_batch([pa.array([base + n]), pa.array([list(bands)], pa.list_(pa.int32())), pa.array([list(sizes)], pa.list_(pa.int64())), *(pa.array([np.concatenate(x).tobytes()]) for x in rest)], names=[x.split()[0] for x in _STRIPS.split(", ")])
 
         for batch in it:
             for vec_id, b, p, v in zip(*(batch.column(c).to_pylist() for c in ("vec_id", "band", "pivot", "v"))):
                 if held and ((b, p) != key or len(held) == block):
-                    yield flush()
+                    annulus()
+                    if len(strip) == STRIP or sum(x[1] for x in strip) + block > STRIP * BLOCK:
+                        yield flush()
                 key = b, p
                 held.append((vec_id, v))
         if held:
+            annulus()
+        if strip:
             yield flush()
 
     return run
 
 
-def _route(pivots: np.ndarray, shared, k: int, first: bool):
-    """Queries -> packs for each block they must meet: (block, qids, vectors, floors). first: the annuli that may be
-    nearest and hold k others; later: all within reach of the query's k-th score, but those. shared: a broadcast of bounds."""
+def _route(pivots: np.ndarray, shared, k: int, first: bool, kind: type):
+    """Queries -> packs for each strip they must meet: (strip, qids, vectors, floors, bits of the annuli to meet, their number).
+    first: the annuli that may be nearest and hold k others; later: all within reach of the query's k-th score, but those.
+    shared: a broadcast of bounds. What a task holds is PACK queries by annuli in bits, and CELLS of them in numbers."""
+
+    def meets(batch, bounds, q):
+        """Of each query and annulus, whether they must meet."""
+        top, rows = bounds["top"], bounds["n"]
+        norm = (q * q).sum(1)
+        d = np.sqrt(np.maximum(norm[:, None] + (pivots[:REFS] ** 2).sum(1)[None] - 2 * q @ pivots[:REFS].T, 0))
+        least = np.zeros((len(q), len(rows)))
+        for r in range(d.shape[1]):
+            np.maximum(least, bounds["low"][None, :, r] - d[:, r, None], out=least)
+            np.maximum(least, d[:, r, None] - bounds["high"][None, :, r], out=least)
+        # the best score that an annulus may hold; nearest first means highest first, across bands
+        best = (norm[:, None] + top[None] - least * least) / 2
+        order = np.argsort(-best, axis=1, kind="stable")
+        before = np.cumsum(rows[order], axis=1) - rows[order]
+        home = np.zeros(least.shape, bool)
+        np.put_along_axis(home, order, before < k + 1, axis=1)
+        if first:
+            return home
+        floor = batch.column("floor").to_numpy(zero_copy_only=False)
+        square = norm[:, None] + top[None] - 2 * floor[:, None]
+        possible = square >= -1e-6 * (1 + norm[:, None] + top[None])
+        return (least <= np.sqrt(np.maximum(square, 0)) * (1 + 1e-9) + 1e-6) & possible & ~home
 
     def run(it):
         bounds = shared.value
-        top, rows = bounds["top"], bounds["n"]
-        step = max(1, CELLS // max(1, len(rows)))
+        step = max(1, CELLS // max(1, len(bounds["n"])))
+        names = ["strip", "qids", "qs", "floors", "bits", "met"]
         for whole in it:
-            for start in range(0, whole.num_rows, step):
-                batch = whole.slice(start, step)
+            for start in range(0, whole.num_rows, PACK):
+                batch = whole.slice(start, PACK)
                 ids = batch.column("vec_id").to_numpy()
                 q = _matrix(batch.column("v"), pivots.shape[1])
-                norm = (q * q).sum(1)
-                d = np.sqrt(np.maximum(norm[:, None] + (pivots[:REFS] ** 2).sum(1)[None] - 2 * q @ pivots[:REFS].T, 0))
-                least = np.zeros((len(q), len(rows)))
-                for r in range(d.shape[1]):
-                    np.maximum(least, bounds["low"][None, :, r] - d[:, r, None], out=least)
-                    np.maximum(least, d[:, r, None] - bounds["high"][None, :, r], out=least)
-                # the best score that an annulus may hold; nearest first means highest first, across bands
-                best = (norm[:, None] + top[None] - least * least) / 2
-                order = np.argsort(-best, axis=1, kind="stable")
-                before = np.cumsum(rows[order], axis=1) - rows[order]
-                home = np.zeros(least.shape, bool)
-                np.put_along_axis(home, order, before < k + 1, axis=1)
-                if first:
-                    meets, floor = home, np.full(len(q), -np.inf)
-                else:
-                    floor = batch.column("floor").to_numpy(zero_copy_only=False)
-                    reach = np.sqrt(np.maximum(norm[:, None] + top[None] - 2 * floor[:, None], 0))
-                    possible = norm[:, None] + top[None] - 2 * floor[:, None] >= -1e-6 * (1 + norm[:, None] + top[None])
-                    meets = (least <= reach * (1 + 1e-9) + 1e-6) & possible & ~home
-                out = [[], [], [], []]
-                for b in np.flatnonzero(meets.any(0)):
-                    at = np.flatnonzero(meets[:, b])
-                    for s in range(0, len(at), 512):
-                        r = at[s : s + 512]
-                        out[0].append(int(bounds["block"][b])), out[1].append(ids[r].tobytes()), out[2].append(q[r].tobytes()), out[3].append(floor[r].tobytes())
-                yield pa.record_batch([pa.array(out[0], pa.int64()), *(pa.array(x, pa.binary()) for x in out[1:])], names=["block", "qids", "qs", "floors"])
+                floor = np.full(len(q), -np.inf) if first else batch.column("floor").to_numpy(zero_copy_only=False)
+                bits = np.concatenate([np.packbits(meets(batch.slice(s, step), bounds, q[s : s + step]), axis=1) for s in range(0, len(q), step)])
+                q, out, held = q.astype(kind), [], 0
+                for strip, a, b in zip(bounds["strip"], bounds["from"], bounds["to"]):
+                    own = np.unpackbits(bits[:, a // 8 : -(-b // 8)], axis=1)[:, a % 8 : a % 8 + b - a]
+                    at = np.flatnonzero(own.any(1))
+                    if not len(at):
+                        continue
+                    out.append((int(strip), ids[at].tobytes(), q[at].tobytes(), floor[at].tobytes(), np.packbits(own[at], axis=1).tobytes(), int(own[at].sum(dtype=np.int64))))
+                    held += sum(map(len, out[-1][1:5]))
+                    if held > BATCH:
+                        yield pa.record_batch([pa.array(x) for x in zip(*out)], names=names)
+                        out, held = [], 0
+                if out:
+                    yield pa.record_batch([pa.array(x) for x in zip(*out)], names=names)
 
     return run
 
 
-def _score(dim: int, k: int, exact: bool):
-    """Packs joined to their blocks -> each query's k best of the block that reach its floor."""
+def _score(dim: int, k: int, number: type, kinds: tuple[type, type]):
+    """Packs joined to their strips -> each query's k best of the annuli that it meets there, of those that reach its floor.
+    number: a type in which the products are exact; kinds: those in which vectors and queries are stored."""
 
     def run(it):
         for batch in it:
-            out = [[], [], []]
-            for row in batch.to_pylist():
-                qids, ids = np.frombuffer(row["qids"], np.int64), np.frombuffer(row["ids"], np.int64)
-                q, v, floor = np.frombuffer(row["qs"]).reshape(-1, dim), np.frombuffer(row["vectors"]).reshape(-1, dim), np.frombuffer(row["floors"])
-                s = (q @ v.T).astype(np.int64) if exact else q.astype(np.int64) @ v.astype(np.int64).T
-                order = np.argsort(ids, kind="stable")
-                ids, s = ids[order], s[:, order]
-                ok = (ids[None] != qids[:, None]) & (s >= floor[:, None])
-                s = np.where(ok, s, np.iinfo(np.int64).min + 1)
-                best = np.argsort(-s, axis=1, kind="stable")[:, :k] if len(ids) <= 4 * k else _best(s, k)
-                good = np.take_along_axis(ok, best, 1)
-                out[0].append(np.repeat(qids, good.sum(1))), out[1].append(ids[best[good]]), out[2].append(np.take_along_axis(s, best, 1)[good])
-            columns = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
-            yield pa.record_batch([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
+            for row in range(batch.num_rows):
+                get = lambda name, kind: np.frombuffer(batch.column(name)[row].as_buffer(), kind)  # noqa: E731, B023
+                qids, floor, sizes = get("qids", np.int64), get("floors", np.float64).copy(), np.array(batch.column("sizes")[row].as_py())
+                q, bits = get("qs", kinds[1]).reshape(-1, dim).astype(number), np.unpackbits(get("bits", np.uint8).reshape(len(qids), -1), axis=1)
+                ids, v, ends, out = get("ids", np.int64), get("vectors", kinds[0]).reshape(-1, dim), np.cumsum(sizes), []
+                for j, (size, end) in enumerate(zip(sizes, ends)):
+                    there = ids[end - size : end]
+                    order = np.argsort(there, kind="stable")
+                    there, w = there[order], v[end - size : end][order].astype(number).T
+                    met = np.flatnonzero(bits[:, j])
+                    few = max(1, CELLS // (2 * len(there)))
+                    for at in (met[x : x + few] for x in range(0, len(met), few)):
+                        s = q[at] @ w
+                        ok = s >= floor[at, None].astype(s.dtype if s.dtype != np.int64 else np.float64)
+                        own, past = np.searchsorted(there, qids[at]), np.searchsorted(there, qids[at], "right")
+                        for i in np.flatnonzero(past > own):
+                            ok[i, own[i] : past[i]] = False
+                        i, c = np.divmod(np.flatnonzero(ok), len(there))
+                        many = np.flatnonzero(np.bincount(i, minlength=len(at)) > k)
+                        if len(many):  # only the k best of these, whose k-th is the floor from here on
+                            part = np.where(ok[many], s[many], np.iinfo(np.int64).min + 1 if s.dtype == np.int64 else -np.inf)
+                            best = _best(part, k)
+                            floor[at[many]] = np.take_along_axis(part, best, 1)[:, -1]
+                            ok[many] = False
+                            ok[many[:, None], best] = True
+                            i, c = np.divmod(np.flatnonzero(ok), len(there))
+                        out.append((at[i], there[c], s[i, c].astype(np.int64)))
+                if not out:
+                    continue
+                i, c, s = (np.concatenate(x) for x in zip(*out))
+                order = np.lexsort((c, -s, i))
+                i, c, s = i[order], c[order], s[order]
+                starts = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.zeros(0, np.int64)
+                keep = np.arange(len(i)) - np.repeat(starts, np.diff(np.r_[starts, len(i)])) < k
+                yield pa.record_batch([pa.array(x[keep]) for x in (qids[i], c, s)], names=["query_id", "vec_id", "score"])
 
     return run
 
 
+def _kind(top: float) -> type:
+    """The least type that holds the whole components of vectors whose squared norms are top at most."""
+    return next((t for t in (np.int8, np.int16, np.int32) if top <= float(np.iinfo(t).max) ** 2), np.float64)
+
+
 def _best(s: np.ndarray, k: int) -> np.ndarray:
     """Indices of each row's k greatest, ties to the smaller index: what equals the k-th is told apart by index."""
     kth = np.partition(s, s.shape[1] - k, axis=1)[:, -k]
@@ -215,36 +266,50 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, report: dict | No
     if stat.least != stat.most:
         raise ValueError("vectors differ in dimension")
     dim = stat.most
-    exact = stat.top < 1 << 52  # sums of products of doubles are then exact
+    queries = ws.save(queries, "queries")
+    asked = queries.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c)).alias("top"), F.min(F.size("v")).alias("least"), F.max(F.size("v")).alias("most")).first()
+    if asked.top is None:
+        return spark.createDataFrame([], schema)
+    if (asked.least, asked.most) != (dim, dim):
+        raise ValueError("queries and vectors differ in dimension")
+    # a sum of products stays below the product of the norms, and is exact in a type that holds as large whole numbers
+    reach = math.sqrt(stat.top) * math.sqrt(asked.top)
+    number = np.float32 if reach < 1 << 23 else np.float64 if reach < 1 << 52 else np.int64
+    kinds = _kind(stat.top), _kind(asked.top)
     top = {r.band: r.top for r in vectors.select("v").mapInArrow(_banded, "band int, norm2 double").groupBy("band").agg(F.max("norm2").alias("top")).collect()}
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").select("v").limit(SAMPLE).collect()
     pivots = spread(np.array([r.v for r in sample], np.float64).reshape(-1, dim), PIVOTS)
     block = max(BLOCK, math.ceil(stat.n / MAX_BLOCKS))
     keyed = vectors.mapInArrow(_keyed(pivots, top), "vec_id long, band int, pivot int, dist double, v binary")
     order = ["band", "pivot", "dist", "vec_id"]
-    index = keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_cut(block, pivots, top), _BLOCKS)
+    index = keyed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_cut(block, pivots, top, kinds[0]), _STRIPS)
     index = ws.save(index, "index")
-    rows = index.select("block", "band", "n", "low", "high").orderBy("block").collect()  # see the module's note on their number
-    bounds = {c: np.array([r[c] for r in rows]) for c in ("block", "n")} | {c: np.array([np.frombuffer(r[c]) for r in rows]) for c in ("low", "high")} | {"top": np.array([top[r.band] for r in rows])}
+    rows = index.select("strip", "bands", "sizes", "low", "high").orderBy("strip").collect()  # see the module's note on their number
+    ends = np.cumsum([len(r.bands) for r in rows])
+    bounds = {"strip": np.array([r.strip for r in rows]), "from": ends - [len(r.bands) for r in rows], "to": ends}
+    bounds |= {"n": np.array([n for r in rows for n in r.sizes]), "top": np.array([top[b] for r in rows for b in r.bands])}
+    bounds |= {c: np.concatenate([np.frombuffer(r[c]).reshape(len(r.bands), -1) for r in rows]) for c in ("low", "high")}
     shared = spark.sparkContext.broadcast(bounds)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     met = []
+    # by number, since what a strip costs is its scores: joined partitions are not to be united for their few bytes
+    parts = max(1, min(len(rows), int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
     def meet(routed: DataFrame, first: bool) -> DataFrame:
-        packs = routed.mapInArrow(_route(pivots, shared, k, first), "block long, qids binary, qs binary, floors binary")
+        packs = routed.mapInArrow(_route(pivots, shared, k, first, kinds[1]), "strip long, qids binary, qs binary, floors binary, bits binary, met long")
         if report is not None:
             packs = ws.save(packs, f"packs-{first}")
-            met.append(packs.agg(F.sum(F.octet_length("qids") / 8)).first()[0] or 0)
-        both = packs.join(index.select("block", "ids", "vectors").hint("merge"), "block")
-        return both.mapInArrow(_score(dim, k, exact), "query_id long, vec_id long, score long")
+            met.append(packs.agg(F.sum("met")).first()[0] or 0)
+        strips = index.select("strip", "sizes", "ids", "vectors").repartition(parts, "strip")
+        both = packs.repartition(parts, "strip").join(strips.hint("merge"), "strip")
+        return both.mapInArrow(_score(dim, k, number, kinds), "query_id long, vec_id long, score long")
 
-    queries = ws.save(queries, "queries")
     near = ws.save(meet(queries, True).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).drop("rank"), "near")
     floors = near.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
     reaching = queries.join(floors, queries["vec_id"] == floors["query_id"], "left").select("vec_id", "v", F.coalesce(F.col("floor").cast("double"), F.lit(float("-inf"))).alias("floor"))
     found = near.unionByName(meet(reaching, False)).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     if report is not None:
-        report |= {"annuli": len(rows), "met": sum(met) / max(1, len(rows) * queries.count())}
+        report |= {"annuli": len(bounds["n"]), "met": sum(met) / max(1, len(bounds["n"]) * queries.count())}
     return found.select("query_id", "rank", "vec_id", "score")
 
 

@@ -1,4 +1,7 @@
+import types
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cinderfind.llm import topk
@@ -61,3 +64,32 @@ def test_few_and_none(spark):
     mixed = topk.quantize(spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0])], "vec_id long, embedding array<double>"))
     with pytest.raises(ValueError):
         topk.search(mixed, mixed)
+
+
+def test_what_a_task_hands_over_is_bounded():
+    """Queries that meet every annulus: batches of a bounded size, and each query once a strip, not once an annulus."""
+    n, strips, dim = 4096, 60, 64
+    a = strips * topk.STRIP
+    ends = np.arange(1, strips + 1) * topk.STRIP
+    bounds = {"strip": np.arange(strips), "from": ends - topk.STRIP, "to": ends, "n": np.full(a, 1024), "top": np.full(a, 4096.0), "low": np.zeros((a, 1)), "high": np.full((a, 1), 1e9)}
+    q = np.random.default_rng(4).integers(-30, 30, (n, dim)).astype(float)
+    batch = pa.record_batch([pa.array(np.arange(n)), pa.array(list(q)), pa.array(np.full(n, -1e9))], names=["vec_id", "v", "floor"])
+    sizes, met = [], 0
+    for out in topk._route(np.zeros((1, dim)), types.SimpleNamespace(value=bounds), 20, False, np.int8)(iter([batch])):
+        sizes.append(out.nbytes)
+        met += sum(out.column("met").to_pylist())
+    assert met == n * (a - 1)  # one annulus holds k others, and was met first
+    assert max(sizes) < 2 * topk.BATCH and sum(sizes) < n * strips * (dim + 8 + 8 + 4)
+
+
+def test_scores_of_a_strip(spark, monkeypatch):
+    """Several strips, annuli that some queries of a pack meet and others don't, ties beyond k in one annulus."""
+    monkeypatch.setattr(topk, "BLOCK", 8)
+    monkeypatch.setattr(topk, "STRIP", 3)
+    monkeypatch.setattr(topk, "PACK", 5)
+    monkeypatch.setattr(topk, "BATCH", 100)
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=(200, 3)), np.tile(rng.normal(size=(1, 3)), (60, 1))]) * 300  # norms beyond a byte
+    rows = [(i, r.tolist()) for i, r in enumerate(x)]
+    df = topk.quantize(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert {tuple(r) for r in topk.search(df, df.filter("vec_id % 20 = 0"), 4).collect()} == brute(rows, 4)

@@ -2,23 +2,22 @@
 
 Words are runs of letters and digits in lower case. Documents with equal words are one node. A node's SimHash has BITS
 bits over its five-word shingles. Each trie of the forest orders the bits by a permutation of its own; documents that
-share a prefix in some trie are candidates, and candidates are verified by the Jaccard similarity of their shingle sets.
-
-A leaf's depth follows the density around it. A prefix of at most LEAF documents is a leaf; a denser one goes on by as
-many further bits of its trie as its count asks for, so that leaves stay small whatever the corpus clusters in. Within
-leaves each document proposes its nearest and one that all share; verified links join classes. Then deep leaves climb:
-their documents meet again, now between different classes alone, under the prefix that is so short that a pair at the
-similarity threshold shares it in some trie with probability RECALL; no sparse leaf is deeper than that. The tries draw from the same bits, so that is taken over the number of bits in which such a pair differs. That last depth
-and the number of tries that it takes are the forest's shape (see shape): a larger corpus has deeper and more tries.
-
-Few shingles make uneven bits (4 against 5 shingles differ in 3/16 of them). So sets of at most SHORT shingles have
-buckets by shingle too: each goes into those of its rarest shingles, as many as it takes for two sets at the threshold
-to share one for certain (prefix filtering).
-
-At the last depth a dense prefix, with more than BUCKET documents, is worked off in pairs of blocks, so no task holds
-one whole and none is skipped. Each document proposes its nearest WIDTH of other classes; once those are verified and
-joined, further rounds propose, wider each time, what still lies between different classes, until nothing is left
-over. So a class of n costs some n links, not n * n, and no link between classes goes unverified.
+share a prefix in some trie are candidates, and all candidates are verified by the Jaccard similarity of their shingle sets.
+
+The forest joins the bulk of a class cheaply, and a leaf's depth follows the density around it: a prefix of at most LEAF
+documents is a leaf, a denser one goes on by as many further bits of its trie as its count asks for. Within leaves each
+document proposes its nearest and one that all share; verified links join classes.
+
+SimHash is a matter of chance, so what it leaves is found exactly, between different classes alone. Two sets at the
+threshold differ in d shingles at most (d by their class of size). Each set is parted into more than d + 1 parts by hash;
+at most d of these differ, so any two sets share one of the d + 1 fullest (see tokens). Documents that share a part
+meet in a bucket, whatever their SimHash. A part holds some four shingles, so a line or passage that many documents have
+makes no bucket by itself.
+
+A bucket with more than BUCKET documents is worked off in pairs of blocks, so no task holds one whole and none is
+skipped. Each document proposes its nearest WIDTH of other classes; once those are verified and joined, further rounds
+propose, wider each time, what still lies between different classes, until nothing is left over. So a class of n costs
+some n links, not n * n, and no link between classes goes unverified.
 """
 
 from __future__ import annotations
@@ -36,6 +35,7 @@ from cinderfind.llm._common import Workspace, components
 
 BITS = 128
 DEPTH = 11  # bits of the last depth, at least
+TRIES = 8  # tries that are built; shape() tells how many a forest without an exact pass would take
 CROWD = 8192  # documents to a prefix of the last depth, on average, from which the forest grows deeper
 LEAF = 1024
 DEEPER = 20  # further bits of a trie below the last depth
@@ -43,10 +43,13 @@ SHINGLE = 5
 SIMILARITY = 0.8
 RECALL = 0.98
 BUCKET = 2048
-SHORT = 32  # shingles of a set that has buckets by shingle too
+SHORT = 32  # shingles of a set whose bits are uneven (4 against 5 shingles differ in 3/16 of them)
 SMALL = 8  # a bucket of so many is compared in full at once
 WIDTH = 4
+HASHES = 1 << 20  # of ids: so many are broadcast at most
 SIGMAS = 2.9
+CHUNK = 1024  # documents of which a task packs the parts at once
+PART = 1 << 21  # parts of sets that a task sorts at once
 CACHE = 500_000
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -163,22 +166,97 @@ def _signed(it):
     for batch in it:
         found = [shingles(t.as_py()) for t in batch.column("words")]
         sig = np.stack([np.packbits(simhash(f)) for f in found] or [np.zeros(16, np.uint8)])[: batch.num_rows].view(np.int64)
-        few = pa.array([f.view(np.int64) if len(f) <= SHORT else None for f in found], pa.list_(pa.int64()))
-        yield pa.record_batch([batch.column("doc_id"), batch.column("key"), pa.array(sig[:, 0]), pa.array(sig[:, 1]), few], names=["doc_id", "key", "s0", "s1", "few"])
+        n = pa.array([len(f) for f in found], pa.int32())
+        yield pa.record_batch([batch.column("doc_id"), batch.column("key"), pa.array(sig[:, 0]), pa.array(sig[:, 1]), n], names=["doc_id", "key", "s0", "s1", "n"])
 
 
-def _rarest(signed: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """(node, leaf, deep, s0, s1, few): the buckets by shingle of nodes with a few. Of n shingles, two sets at the threshold share
-    threshold * n at least, and so one of the n - ceil(threshold * n) + 1 that come first in an order common to all."""
-    from pyspark.sql import Window
+@lru_cache(8)
+def sizes(threshold: float = SIMILARITY) -> np.ndarray:
+    """The largest set of each class of size. A set and one at the threshold are of the same class or one that cuts() gives."""
+    out = [4]
+    while out[-1] < 1 << 40:
+        out.append(max(out[-1] + 1, int(out[-1] * max(1.05, 1 / threshold))))
+    return np.array(out)
+
+
+def cuts(n: int, threshold: float = SIMILARITY) -> list[tuple[int, int, int]]:
+    """(class, d + 1, parts) for each class in which the larger set of a pair may be, if a set of n shingles is one of the two."""
+    most, out = sizes(threshold), []
+    c = int(np.searchsorted(most, n))
+    while not out or threshold * (most[c - 1] + 1) <= n + 1e-6:
+        need = int(2 * int(most[c]) * (1 - threshold) / (1 + threshold) + 1e-6) + 1
+        out.append((c, need, need + max(1, need // 5)))
+        c += 1
+    return out
+
+
+def tokens(found: list[np.ndarray], threshold: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """(index of a set, hash of one of its parts): two sets at the threshold have some hash in common.
+
+    Of a class all sets are parted alike. Two sets that differ in d shingles at most have all parts but d in common;
+    by one order of all possible parts, here fuller ones first and empty ones last, that is one of the first d + 1 of each
+    (prefix filtering)."""
+    jobs = [(i, *cut) for i, f in enumerate(found) for cut in cuts(len(f), threshold)]
+    if not jobs:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    at, kind, need, parts = (np.array(x, np.int64) for x in zip(*jobs))
+    lengths = np.array([len(found[i]) for i in at])
+    job = np.repeat(np.arange(len(jobs)), lengths)
+    x = np.concatenate([found[i] for i in at])
+    part = ((x >> np.uint64(32)) * parts.astype(np.uint64)[job] >> np.uint64(32)).astype(np.int64)  # sets are sorted: so are parts
+    start = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (job[1:] != job[:-1])])
+    held = np.diff(np.r_[start, len(x)])
+    job, part = job[start], part[start]
+    code = _mix(np.add.reduceat(_mix(x ^ _C[1]), start) + _mix(kind.astype(np.uint64)[job] * _C[2] + part.astype(np.uint64) * _C[3]))
+    order = np.lexsort((code >> np.uint64(24) | (np.uint64(255) - np.minimum(held, 255).astype(np.uint64)) << np.uint64(40), job))
+    first = np.flatnonzero(np.r_[True, job[1:] != job[:-1]])
+    there = np.diff(np.r_[first, len(job)])
+    keep = order[np.arange(len(job)) - np.repeat(first, there) < np.repeat(need, there)]
+    ids, codes = [at[job[keep]]], [code[keep]]
+    for j in np.flatnonzero(there < need):  # too few parts hold anything: empty ones by number
+        empty = np.setdiff1d(np.arange(parts[j]), part[first[j] : first[j] + there[j]])[: need[j] - there[j]].astype(np.uint64)
+        ids.append(np.full(len(empty), at[j])), codes.append(_mix(_mix(kind.astype(np.uint64)[j : j + 1] * _C[2] + empty * _C[3])))
+    return np.concatenate(ids), np.concatenate(codes)
+
+
+def _parted(parts: int, threshold: float):
+    """(node, label, words) -> (part, payload): the tokens of CHUNK documents, in as many packs as there are parts. A pack holds
+    32 bits of each token, and by planes of bytes, which compress, nodes and what their labels differ in."""
+
+    def run(it):
+        for batch in it:
+            for start in range(0, batch.num_rows, CHUNK):
+                own = batch.slice(start, CHUNK)
+                node, label = own.column("node").to_numpy(), own.column("label").to_numpy()
+                i, code = tokens([shingles(t.as_py()) for t in own.column("words")], threshold)
+                to = ((code >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+                order = np.argsort(to, kind="stable")
+                i, code, ends = i[order], code[order].astype(np.uint32), np.cumsum(np.bincount(to, minlength=parts))
+                node, other = node[i], node[i] ^ label[i]
+                packs = [b"".join([code[a:b].tobytes(), *(np.ascontiguousarray(x[a:b].view(np.uint8).reshape(-1, 8).T).tobytes() for x in (node, other))]) for a, b in zip(np.r_[0, ends[:-1]], ends)]
+                some = [p for p in range(parts) if packs[p]]
+                yield pa.record_batch([pa.array(some, pa.int32()), pa.array([packs[p] for p in some], pa.binary())], names=["part", "payload"])
 
-    short = signed.filter("few is not null").join(nodes.select("node", F.col("key").alias("k")), (F.col("doc_id") == F.col("node")) & (F.col("key") == F.col("k")))
-    short = short.dropDuplicates(["node"]).select("node", "s0", "s1", F.size("few").alias("n"), F.explode("few").alias("leaf"))
-    held = short.groupBy(F.col("leaf").alias("l")).agg(F.count(F.lit(1)).alias("held"))
-    order = Window.partitionBy("node").orderBy("held", "leaf")
-    nth = short.join(held, F.col("leaf") == F.col("l")).withColumn("nth", F.row_number().over(order))
-    first = nth.filter((F.col("nth") <= F.col("n") - F.ceil(F.col("n") * F.lit(float(threshold)) - 1e-9) + 1) & (F.col("held") > 1))
-    return first.select("node", "leaf", F.lit(0).alias("deep"), "s0", "s1", F.lit(True).alias("few"))
+    return run
+
+
+def _met(table: pa.Table) -> pa.Table:
+    """All packs of a part -> (bucket, node) of the tokens that nodes of different labels share."""
+    codes, nodes, labels = [], [], []
+    for x in table.column("payload"):
+        x = np.frombuffer(x.as_buffer(), np.uint8)
+        n = len(x) // 20
+        codes.append(x[: 4 * n].view(np.uint32))
+        node, other = (np.ascontiguousarray(x[a * n : (a + 8) * n].reshape(8, n).T).view(np.int64)[:, 0] for a in (4, 12))
+        nodes.append(node), labels.append(node ^ other)
+    code, node, label = (np.concatenate(x) for x in (codes, nodes, labels))
+    order = np.argsort(code, kind="stable")
+    code, node, label = code[order], node[order], label[order]
+    start = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+    some = np.minimum.reduceat(label, start) != np.maximum.reduceat(label, start)
+    keep = np.repeat(some, np.diff(np.r_[start, len(code)]))
+    bucket = (np.int64(table.column("part")[0].as_py()) << 32) + code[keep].astype(np.int64)
+    return pa.table({"bucket": bucket, "node": node[keep]})
 
 
 def _sig(batch) -> np.ndarray:
@@ -317,6 +395,21 @@ def _verified(threshold: float):
     return run
 
 
+def _shared(ws: Workspace, texts: DataFrame, nodes: DataFrame, total: int, threshold: float) -> DataFrame:
+    """(bucket, side, node, few, s0, s1): what nodes of different labels share. Crowded buckets come as pairs of blocks."""
+    parts = max(1, math.ceil(total / PART))
+    packs = texts.select("node", "label", "words").mapInArrow(_parted(parts, threshold), "part int, payload binary")
+    met = ws.save(packs.groupBy("part").applyInArrow(_met, "bucket long, node long").distinct(), "met")
+    crowds = met.groupBy(F.col("bucket").alias("d")).count().filter(F.col("count") > BUCKET).select("d", F.ceil(F.col("count") / BUCKET).cast("int").alias("blocks"))
+    one = met.join(crowds, F.col("bucket") == F.col("d"), "left_anti").select("node", "bucket", F.lit(0).alias("side"))
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    many = met.join(crowds, F.col("bucket") == F.col("d")).select("node", "bucket", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
+    many = many.select("node", F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("bucket"), side.alias("side"))
+    bits = nodes.groupBy("node").agg(F.min("s0").alias("s0"), F.min("s1").alias("s1")).withColumn("few", F.lit(True))
+    return ws.save(one.unionByName(many).join(bits, "node"), "shared")
+
+
 def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """(doc_id, key, leader, class_id) for every row of docs(doc_id, text).
 
@@ -326,63 +419,72 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """
     ws = Workspace(docs.sparkSession, "simhash")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normal(F.col("text")).alias("words")).select("doc_id", F.md5("words").alias("key"), "words")
-    signed = ws.save(text.mapInArrow(_signed, "doc_id long, key string, s0 long, s1 long, few array<long>"), "signed")
+    signed = ws.save(text.mapInArrow(_signed, "doc_id long, key string, s0 long, s1 long, n int"), "signed")
     # a doc_id with several texts is one node with as many rows, which link whatever one of them links
-    nodes = signed.filter("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.max("s0").alias("s0"), F.max("s1").alias("s1"), F.bool_or(F.col("few").isNotNull()).alias("few"))
+    nodes = signed.filter("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.max("s0").alias("s0"), F.max("s1").alias("s1"), F.max("n").alias("n"))
     nodes = ws.save(nodes, "nodes")
-    forest = shape(nodes.count(), threshold)
-    limits = far(threshold, SHORT + 1), far(threshold)
-    leaves = nodes.mapInArrow(_leaves(*forest), "node long, leaf long, deep int, s0 long, s1 long, few boolean").unionByName(_rarest(signed, nodes, threshold))
-    leaves = ws.save(leaves, "leaves")
+    stat = nodes.agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("shingles")).first()
+    depth, tries = shape(stat.nodes, threshold)
+    few = nodes.select("node", "s0", "s1", (F.col("n") <= SHORT).alias("few"))
+    leaves = ws.save(few.mapInArrow(_leaves(depth, min(tries, TRIES)), "node long, leaf long, deep int, s0 long, s1 long, few boolean"), "leaves")
     dense = leaves.groupBy("leaf").count().filter(F.col("count") > LEAF)
     more_bits = F.least(F.ceil(F.log2(F.col("count") / LEAF)) + 1, F.lit(DEEPER)).cast("int")
-    dense = ws.save(dense.select(F.col("leaf").alias("d"), more_bits.alias("bits"), F.ceil(F.col("count") / BUCKET).cast("int").alias("blocks")), "dense")
+    dense = dense.select(F.col("leaf").alias("d"), more_bits.alias("bits"), F.ceil(F.col("count") / BUCKET).cast("int").alias("blocks"))
     met = leaves.join(dense, F.col("leaf") == F.col("d"), "left")
-    row = ["node", "s0", "s1", "few"]
     # leaves: of a dense prefix by further bits, and a crowd that none of them parts by hash of the node
     deeper = F.xxhash64("leaf", F.expr("deep & (shiftleft(1, bits) - 1)"), F.pmod(F.xxhash64("node"), "blocks"))
-    first = met.select(*row, F.when(F.col("bits").isNull(), F.col("leaf")).otherwise(deeper).alias("bucket"), F.lit(0).alias("side"))
-    # climbing: the dense prefixes themselves, in pairs of blocks if they are crowded
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    climbed = leaves.join(dense, F.col("leaf") == F.col("d")).select(*row, "leaf", "blocks", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    low, high = F.least("mine", "other"), F.greatest("mine", "other")
-    side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
-    climbed = climbed.select(*row, F.xxhash64("leaf", low, high).alias("bucket"), side.cast("int").alias("side"))
-    sparse = leaves.join(dense, F.col("leaf") == F.col("d"), "left_anti").select(*row, F.col("leaf").alias("bucket"), F.lit(0).alias("side"))
-    roots = sets = tested = again = None
+    first = met.select("node", "s0", "s1", "few", F.when(F.col("bits").isNull(), F.col("leaf")).otherwise(deeper).alias("bucket"), F.lit(0).alias("side"))
+
+    def words_of(keyed: DataFrame, part: DataFrame) -> DataFrame:
+        """keyed(node, key, ...) with the words of its texts, out of part of the documents."""
+        joined = part.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(keyed, F.col("doc_id") == F.col("node"))
+        return joined.withColumn("words", normal(F.col("text"))).drop("text", "doc_id").filter(F.md5("words") == F.col("key"))
+
+    def verify(fresh: DataFrame, step: int) -> DataFrame:
+        """(a, b, linked) of pairs. Only texts of a bounded number of hashes of ids are shuffled, to those of the pairs."""
+        needed = fresh.select(F.col("a").alias("node")).union(fresh.select("b")).distinct()
+        needed = ws.save(nodes.select("node", "key").join(needed, "node", "left_semi"), f"needed-{step}")
+        short = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(HASHES))
+        some = docs.withColumn("_cf_hash", short("doc_id")).join(F.broadcast(needed.select(short("node").alias("_cf_hash")).distinct()), "_cf_hash", "left_semi")
+        sets = ws.save(words_of(needed, some).select("node", "words").mapInArrow(_sets, "node long, set binary"), f"sets-{step}")
+        both = fresh.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
+        checked = ws.save(both.mapInArrow(_verified(threshold), "a long, b long, linked boolean").distinct(), f"checked-{step}")
+        ws.drop(f"needed-{step}"), ws.drop(f"sets-{step}")
+        return checked
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        return rows.join(roots.select("node", F.col("root").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+    roots = tested = again = None
     width, step = 1, 0
     while True:
         if roots is None:
-            rows = first.withColumn("label", F.col("node"))
-        else:  # all dense prefixes once, then of these as of the others what had more to propose
-            left = sparse.join(again, "bucket", "left_semi")
-            rows = left.unionByName(climbed if step == 1 else climbed.join(again, "bucket", "left_semi"))
-            rows = rows.join(roots.select("node", F.col("root").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
+            rows, limits = first.withColumn("label", F.col("node")), (far(threshold, SHORT + 1), far(threshold))
+        else:
+            rows, limits = labelled(shared if again is None else shared.join(again, "bucket", "left_semi")), (BITS, BITS)
         rows = rows.select("bucket", "side", "node", "label", "few", "s0", "s1").repartition("bucket").sortWithinPartitions("bucket")
         pairs = ws.save(rows.mapInArrow(_propose(width, limits), "a long, b long, rest long").distinct(), f"pairs-{step}")
         fresh = pairs.filter("a is not null").select("a", "b")
         if tested is not None:
             fresh = fresh.join(tested, ["a", "b"], "left_anti")
         fresh = ws.save(fresh, f"fresh-{step}")  # as a table its size is known, and few pairs are broadcast to the sets
-        if sets is None:
-            # whoever has a candidate at all proposes one in the first round: these sets serve every later round
-            needed = fresh.select(F.col("a").alias("node")).union(fresh.select("b")).distinct()
-            keyed = nodes.select("node", "key").join(needed, "node", "left_semi")
-            wanted = text.select("doc_id", F.col("key").alias("k"), "words").join(keyed, (F.col("doc_id") == F.col("node")) & (F.col("k") == F.col("key")))
-            sets = ws.save(wanted.select("node", "words").mapInArrow(_sets, "node long, set binary"), "sets")
-        both = fresh.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
-        checked = ws.save(both.mapInArrow(_verified(threshold), "a long, b long, linked boolean").distinct(), f"checked-{step}")
+        checked = verify(fresh, step)
         ws.drop(f"fresh-{step}")
         tested = checked.select("a", "b") if tested is None else tested.union(checked.select("a", "b"))
         links = checked.filter("linked").select("a", "b")
         if roots is not None:
             links = links.union(roots.select("node", "root"))
         roots = components(ws, links, f"classes-{step}")
-        again = ws.save(pairs.filter("rest is not null").select(F.col("rest").alias("bucket")), f"again-{step}")
+        if step == 0:
+            shared = _shared(ws, words_of(labelled(nodes.select("node", "key")), docs), nodes, stat.shingles or 0, threshold)
+            ws.drop("leaves")
+        else:
+            again = ws.save(pairs.filter("rest is not null").select(F.col("rest").alias("bucket")), f"again-{step}")
+            if again.isEmpty():  # at the latest when the width is a bucket's size
+                break
+            width = WIDTH if width == 1 else width * 4
         ws.drop(f"pairs-{step}")
-        if step and again.isEmpty():  # at the latest when the width is a bucket's size
-            break
-        width, step = WIDTH if width == 1 else width * 4, step + 1
+        step += 1
     member = nodes.join(roots, "node", "left").select("key", F.col("node").alias("_node"), F.coalesce("root", "node").alias("_root"))
     out = signed.select("doc_id", "key").join(member, "key", "left")
     own = F.col("doc_id").isNotNull()

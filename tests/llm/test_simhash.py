@@ -170,3 +170,34 @@ def test_query(spark, tmp_path):
     spark.createDataFrame([(i, t, "k") for i, t in [(None, "a b"), (3, "A, b"), (2, "a b")]], "doc_id long, text string, key string").write.parquet(str(tmp_path / "documents.parquet"))
     got = S.op10_simhash_near_dedup(spark, str(tmp_path))
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(None, None, False), (3, 2, False), (2, 2, True)], key=str)
+
+
+def test_what_simhash_misses_is_found(spark):
+    """Pairs at the threshold that share no prefix in any of the forest's tries, or differ in more bits than far()."""
+    k, tries = S.shape(10**6)
+    order = np.array([np.random.default_rng(t).permutation(S.BITS)[:k] for t in range(tries)])
+    missed = []
+    for n, m in ((45, 45), (36, 45), (200, 230)):
+        for a, b in at_threshold(n, m, 1200, n * m):
+            x = S.simhash(S.shingles(a)) != S.simhash(S.shingles(b))
+            if x[order].any(1).all() or x.sum() > S.far(low=S.SHORT + 1):
+                missed.append((a, b))
+    assert len(missed) > 20
+    rows = [(2 * i + j, t) for i, p in enumerate(missed) for j, t in enumerate(p)]
+    got = {r.doc_id: r.class_id for r in S.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in got} and len(got) == len(rows)
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.6, 1.0])
+def test_sets_at_the_threshold_share_a_token(threshold):
+    rng, found = np.random.default_rng(8), []
+    for n in [1, 2, 3, 4, 5, 6, 7, 9, 12, 33, 80, 300] * 30:
+        m = int(n * rng.uniform(threshold, 1 / threshold)) or 1
+        both = next((c for c in range(1, min(n, m) + 1) if c >= threshold * (n + m - c) - 1e-9), 0)
+        base, more = rng.integers(1, 2**63, both).astype(np.uint64), lambda x: rng.integers(1, 2**63, x).astype(np.uint64) * np.uint64(2)
+        if both:
+            found += [np.unique(np.r_[base, more(x - both)]) for x in (n, m)]
+    by = {}
+    for i, code in zip(*S.tokens(found, threshold)):
+        by.setdefault(int(i), set()).add(int(code))
+    assert len(found) > 100 and all(by[i] & by[i + 1] for i in range(0, len(found), 2))

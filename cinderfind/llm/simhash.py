@@ -101,6 +101,29 @@ def simhash(found: np.ndarray) -> np.ndarray:
     return (bits.sum(1, dtype=np.uint8).sum(0, dtype=np.int64) * 2 > n).astype(np.uint8)
 
 
+def sketch(found: np.ndarray) -> bytes:
+    """Of a set's hashes, whether an odd number falls on each bit of a power of two, twice the set's size or more."""
+    bits = 1 << max(6, (2 * len(found) - 1).bit_length())
+    return np.packbits(np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def _near(threshold: float):
+    """(a, b, n_a, n_b, odd_a, odd_b) -> the pairs that may reach the threshold: sketches, the larger folded, differ in no more
+    bits than the sets in shingles."""
+
+    def run(it):
+        for batch in it:
+            keep = []
+            for n, m, x, y in zip(batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist(), batch.column("odd_a"), batch.column("odd_b")):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                least = min(len(x), len(y))
+                x, y = (np.bitwise_xor.reduce(v.reshape(-1, least), axis=0) if len(v) > least else v for v in (x, y))
+                keep.append(min(n, m) >= threshold * max(n, m) - 1e-6 and int(np.bitwise_count(x ^ y).sum()) <= (n + m) * (1 - threshold) / (1 + threshold) + 1e-6)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def word_key(text: Column) -> Column:
     """A digest of the text's words: equal for texts that differ in case, punctuation or white space alone."""
     return F.md5(normal(text))
@@ -167,7 +190,8 @@ def _signed(it):
         found = [shingles(t.as_py()) for t in batch.column("words")]
         sig = np.stack([np.packbits(simhash(f)) for f in found] or [np.zeros(16, np.uint8)])[: batch.num_rows].view(np.int64)
         n = pa.array([len(f) for f in found], pa.int32())
-        yield pa.record_batch([batch.column("doc_id"), batch.column("key"), pa.array(sig[:, 0]), pa.array(sig[:, 1]), n], names=["doc_id", "key", "s0", "s1", "n"])
+        odd = pa.array([sketch(f) for f in found], pa.binary())
+        yield pa.record_batch([batch.column("doc_id"), batch.column("key"), pa.array(sig[:, 0]), pa.array(sig[:, 1]), n, odd], names=["doc_id", "key", "s0", "s1", "n", "odd"])
 
 
 @lru_cache(8)
@@ -419,9 +443,9 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """
     ws = Workspace(docs.sparkSession, "simhash")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normal(F.col("text")).alias("words")).select("doc_id", F.md5("words").alias("key"), "words")
-    signed = ws.save(text.mapInArrow(_signed, "doc_id long, key string, s0 long, s1 long, n int"), "signed")
+    signed = ws.save(text.mapInArrow(_signed, "doc_id long, key string, s0 long, s1 long, n int, odd binary"), "signed")
     # a doc_id with several texts is one node with as many rows, which link whatever one of them links
-    nodes = signed.filter("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.max("s0").alias("s0"), F.max("s1").alias("s1"), F.max("n").alias("n"))
+    nodes = signed.filter("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.max("s0").alias("s0"), F.max("s1").alias("s1"), F.max("n").alias("n"), F.max("odd").alias("odd"))
     nodes = ws.save(nodes, "nodes")
     stat = nodes.agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("shingles")).first()
     depth, tries = shape(stat.nodes, threshold)
@@ -441,7 +465,10 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
         return joined.withColumn("words", normal(F.col("text"))).drop("text", "doc_id").filter(F.md5("words") == F.col("key"))
 
     def verify(fresh: DataFrame, step: int) -> DataFrame:
-        """(a, b, linked) of pairs. Only texts of a bounded number of hashes of ids are shuffled, to those of the pairs."""
+        """(a, b, linked) of the pairs whose sketches are near. Only texts of a bounded number of hashes of ids are shuffled."""
+        half = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("odd").alias(f"odd_{x}"))
+        drawn = fresh.join(half("a"), "a").join(half("b"), "b").select("a", "b", "n_a", "n_b", "odd_a", "odd_b")
+        fresh = ws.save(drawn.mapInArrow(_near(threshold), "a long, b long").distinct(), f"near-{step}")
         needed = fresh.select(F.col("a").alias("node")).union(fresh.select("b")).distinct()
         needed = ws.save(nodes.select("node", "key").join(needed, "node", "left_semi"), f"needed-{step}")
         short = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(HASHES))
@@ -469,8 +496,7 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
             fresh = fresh.join(tested, ["a", "b"], "left_anti")
         fresh = ws.save(fresh, f"fresh-{step}")  # as a table its size is known, and few pairs are broadcast to the sets
         checked = verify(fresh, step)
-        ws.drop(f"fresh-{step}")
-        tested = checked.select("a", "b") if tested is None else tested.union(checked.select("a", "b"))
+        tested = fresh if tested is None else tested.union(fresh)
         links = checked.filter("linked").select("a", "b")
         if roots is not None:
             links = links.union(roots.select("node", "root"))

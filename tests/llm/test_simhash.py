@@ -201,3 +201,14 @@ def test_sets_at_the_threshold_share_a_token(threshold):
     for i, code in zip(*S.tokens(found, threshold)):
         by.setdefault(int(i), set()).add(int(code))
     assert len(found) > 100 and all(by[i] & by[i + 1] for i in range(0, len(found), 2))
+
+
+def test_sketches_leave_out_no_pair():
+    """Folded sketches differ in no more bits than the sets in shingles, and in many where these do."""
+    rng = np.random.default_rng(5)
+    for n, m, both in ((4, 5, 4), (30, 37, 30), (60, 70, 58), (500, 620, 500), (500, 500, 300)):
+        x, y, z = (rng.integers(0, 2**63, k).astype(np.uint64) for k in (both, n - both, m - both))
+        x, y = np.unique(np.r_[x, y]), np.unique(np.r_[x, z])
+        rows = {"a": [1], "b": [2], "n_a": [len(x)], "n_b": [len(y)], "odd_a": [S.sketch(x)], "odd_b": [S.sketch(y)]}
+        (out,) = S._near(0.8)(iter([S.pa.RecordBatch.from_pydict(rows)]))
+        assert out.num_rows == (both >= 0.8 * (n + m - both))

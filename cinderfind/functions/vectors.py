@@ -24,6 +24,14 @@ def unit(v: Column) -> Column:
     return F.when(n == 0, _wide(v)).otherwise(F.transform(_wide(v), lambda x: x / n))
 
 
+def rounded(x: Column, places: int) -> Column:
+    """A double rounded in binary, ties away from zero and the sign of zero kept, as SQL engines on C's round() do it.
+    Spark's own round() goes by way of decimals, which have no negative zero."""
+    y = x * F.lit(10.0**places)
+    near = F.rint(y)
+    return F.when(F.abs(y) - F.abs(near) == 0.5, near + F.signum(y)).otherwise(near) / F.lit(10.0**places)
+
+
 def clip(score: Column) -> Column:
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), score))
 

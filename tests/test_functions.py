@@ -77,3 +77,21 @@ def test_money(spark):
     assert one(spark, money.charge_nanos_column(F.lit(7), F.lit(20_000_000))) == 140
     assert one(spark, money.charge_nanos_column(F.lit(2**60), F.lit(1_000_001))) == -(-(2**60) * 1_000_001 // 10**6)
     assert one(spark, money.usd_to_nanos_column(F.lit("0.0000000001"))) == 1
+
+
+def test_l2_normalize_as_its_sql(spark, tmp_path):
+    """Signs of zeros, ties at the last place, zero vectors and nulls come out as in SQL."""
+    import struct
+
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    vectors = [[1.0, -1e-7, 1e-7, 0.0], [-1.0, 5e-7, -5e-7, 1.5e-6], [0.0] * 4, [-0.0, 3.0, 4.0, -2e-9], None, [1.0, 0.1234565, -0.1234565, 2.5e-6]]
+    spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    bits = lambda unit: unit and [x if x != x else struct.pack("<d", x) for x in unit]
+    want = {i: str(bits(unit)) for i, unit in con.execute(entry.oracle_sql()["l2_normalize"]).fetchall()}
+    got = {r.vec_id: str(bits(r.unit)) for r in entry.queries()["l2_normalize"](spark, str(tmp_path)).collect()}
+    assert got == want and len(got) == 6

@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 from cinderfind.llm._common import Workspace
 
 UNIT = 576
+TAIL = 32  # payload bytes that tail_crc32 covers
 RATE = 16000
 _KBPS = {  # (MPEG-1, layer)
     (True, 1): [0, 32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448],
@@ -366,7 +367,7 @@ def _carried(data: bytes, stream: Stream) -> tuple:
     """(payload_bytes, payload_sha256, tail_crc32, feature) of a stream as encode() makes them; else no payload."""
     own = (stream.version, stream.layer, stream.rate) == ("2", 3, RATE) and len(stream.sizes) and int(stream.sizes.min()) >= _BODY + UNIT
     back = payload_of(data, stream) if own else b""
-    return len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), feature(stream, back)
+    return len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-TAIL:]), feature(stream, back)
 
 
 STORED = "doc_id long, n_bytes long, media binary"

@@ -120,3 +120,11 @@ def test_describe_any_audio(spark):
     got = {r.name: r for r in M.describe(df, "sound").collect()}
     assert got["a"].format == "MPEG-1 Layer 3" and got["a"].rate == 44100 and got["a"].seek_offsets == [i * size for i in range(4)] and got["a"].payload_bytes == 0
     assert [(got[n].n_frames, got[n].duration_us, got[n].format) for n in "bc"] == [(0, 0, None)] * 2
+
+
+def test_tail_as_the_contract_has_it(spark, tmp_path):
+    """tail_crc32 is of the last 32 payload bytes, whatever the padding."""
+    texts = ["", None, "a" * 575, "a" * 576, "é" * 288, "b" * 577, "x" * 560 + "tail of the text"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.tail_crc32 for r in M.op6_mpeg_audio(spark, str(tmp_path)).collect()}
+    assert got == {i: zlib.crc32(M.pad((t or "").encode())[-32:]) for i, t in enumerate(texts)}

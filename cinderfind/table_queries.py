@@ -286,10 +286,14 @@ def _write_files(rows, at: str):
     def run(it):
         from pyarrow import fs
 
+        files, base = fs.FileSystem.from_uri(at)
+        made = set()
         for batch in it:
             for name, text in zip(batch.column("name").to_pylist(), batch.column("text").to_pylist()):
-                files, path = fs.FileSystem.from_uri(f"{at}/{name}")
-                files.create_dir(path.rpartition("/")[0], recursive=True)
+                path = f"{base}/{name}"
+                if (parent := path.rpartition("/")[0]) not in made:
+                    files.create_dir(parent, recursive=True)
+                    made.add(parent)
                 with files.open_output_stream(path) as out:
                     out.write(text.encode())
             yield pa.record_batch([pa.array([batch.num_rows])], names=["n"])
@@ -298,6 +302,61 @@ def _write_files(rows, at: str):
     return at
 
 
+def _write_lines(rows, at: str, ends: dict[str, tuple[str, str, str]]):
+    """rows (name, line) -> a file for each name, below a folder, with its lines in some order. ends: by a name's ending,
+    what stands before, between and behind the lines. Tasks write pieces, which are then strung together as streams, so
+    nobody holds a file."""
+
+    def pieces(it):
+        from pyarrow import fs
+
+        files, base = fs.FileSystem.from_uri(at)
+        files.create_dir(f"{base}/_pieces", recursive=True)
+        out = {}
+        try:
+            for batch in it:
+                for name, line in zip(batch.column("name").to_pylist(), batch.column("line").to_pylist()):
+                    if name not in out:
+                        piece = f"_pieces/{uuid.uuid4().hex}"
+                        out[name] = piece, files.open_output_stream(f"{base}/{piece}", buffer_size=1 << 20)
+                    else:
+                        out[name][1].write(ends[name.rpartition(".")[2]][1].encode())
+                    out[name][1].write(line.encode())
+        finally:
+            for _, stream in out.values():
+                stream.close()
+        yield pa.record_batch([pa.array(list(out), pa.string()), pa.array([p for p, _ in out.values()], pa.string())], names=["name", "piece"])
+
+    def joined(it):
+        from pyarrow import fs
+
+        files, base = fs.FileSystem.from_uri(at)
+        for batch in it:
+            for row in batch.to_pylist():
+                before, between, behind = (x.encode() for x in ends[row["name"].rpartition(".")[2]])
+                with files.open_output_stream(f"{base}/{row['name']}", buffer_size=1 << 20) as out:
+                    out.write(before)
+                    for i, piece in enumerate(row["pieces"]):
+                        out.write(between if i else b"")
+                        with files.open_input_stream(f"{base}/{piece}") as part:
+                            while block := part.read(1 << 20):
+                                out.write(block)
+                    out.write(behind)
+            yield pa.record_batch([pa.array([batch.num_rows])], names=["n"])
+
+    made = rows.select("name", "line").mapInArrow(pieces, "name string, piece string").collect()  # a row for each task and name
+    by: dict[str, list] = {}
+    for r in made:
+        by.setdefault(r.name, []).append(r.piece)
+    if by:
+        spark = rows.sparkSession
+        lists = spark.createDataFrame(sorted(by.items()), "name string, pieces array<string>").repartition(len(by))
+        lists.mapInArrow(joined, "n long").agg(F.sum("n")).collect()
+        pieces_at = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/_pieces")
+        pieces_at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(pieces_at, True)
+    return at
+
+
 @query("SELECT lpad(doc_id::VARCHAR, 9, '0') AS id, lang AS title, n_chars AS size, source || '/' || doc_id || '.md' AS source FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL AND text IS NOT NULL")
 def markdown_files(spark, d):
     docs = _t(spark, d, "documents").filter("lang is not null and source is not null and text is not null")
@@ -312,8 +371,8 @@ def csv_files(spark, d):
     docs = _t(spark, d, "documents")
     quoted = lambda c: F.concat(F.lit('"'), F.regexp_replace(F.coalesce(c, F.lit("")), '"', '""'), F.lit('"'))
     line = F.concat_ws(",", F.col("doc_id").cast("string"), quoted(F.coalesce("lang", F.lit("none"))), quoted(F.col("text")), F.col("n_chars").cast("string"))
-    parts = docs.groupBy((F.col("doc_id") % 4).alias("p")).agg(F.concat_ws("\n", F.lit("Record ID,Title,Text,Size"), F.collect_list(line)).alias("text"))
-    at = _write_files(parts.select(F.format_string("part-%d.csv", "p").alias("name"), "text"), _folder(spark))
+    lines = docs.select(F.format_string("part-%d.csv", F.col("doc_id") % 4).alias("name"), line.alias("line"))
+    at = _write_lines(lines, _folder(spark), {"csv": ("Record ID,Title,Text,Size\n", "\n", "")})
     got = adapters.read(spark, at, "csv")
     return got.select("id", F.size("semantic").alias("fields"), F.try_variant_get(F.parse_json("structured"), "$.Size", "bigint").alias("size"), "source")
 
@@ -322,10 +381,9 @@ def csv_files(spark, d):
 def json_files(spark, d):
     docs = _t(spark, d, "documents").filter(T.strip(F.col("text")) != "")
     line = F.to_json(F.struct(F.col("doc_id"), F.col("text").alias("body"), F.col("n_chars").alias("size"), F.array("lang").alias("nested")))
-    lines = docs.filter("doc_id % 2 = 0").groupBy((F.col("doc_id") % 8).alias("p")).agg(F.concat_ws("\n\n", F.collect_list(line)).alias("text"))
-    whole = docs.filter("doc_id % 2 <> 0").groupBy((F.col("doc_id") % 8).alias("p")).agg(F.concat(F.lit('{"records": ['), F.concat_ws(",", F.collect_list(line)), F.lit("]}")).alias("text"))
-    rows = lines.select(F.format_string("%d.jsonl", "p").alias("name"), "text").union(whole.select(F.format_string("%d.json", "p").alias("name"), "text"))
-    got = adapters.read(spark, _write_files(rows, _folder(spark)), "json", semantic=["body"])
+    name = F.format_string("%d.%s", F.col("doc_id") % 8, F.when(F.col("doc_id") % 2 == 0, "jsonl").otherwise("json"))
+    ends = {"jsonl": ("", "\n\n", ""), "json": ('{"records": [', ",", "]}")}
+    got = adapters.read(spark, _write_lines(docs.select(name.alias("name"), line.alias("line")), _folder(spark), ends), "json", semantic=["body"])
     return got.select("id", T.strip(F.element_at("semantic", 1)["value"]).alias("body"), F.try_variant_get(F.parse_json("structured"), "$.size", "bigint").alias("size"))
 
 

@@ -130,3 +130,52 @@ def test_store(spark, tmp_path):
         create_store("nope")
     with pytest.raises(ValueError):
         register_store("", VectorStore)
+
+
+def test_csv_is_a_stream_of_long_rows(spark, tmp_path):
+    """A field of any length, and no more lines are taken than records ask for."""
+    (tmp_path / "a.csv").write_text('id,text\n1,"' + 'long "" text\n' * 30_000 + '"\n2,b\n')
+    got = records(A.read(spark, str(tmp_path), "csv"))
+    assert [(g[0], len(g[1]["text"])) for g in got] == [("1", 12 * 30_000), ("2", 1)]
+    taken = []
+    rows = A.csv_rows((taken.append(i) or f"{i},x\n" if i else "id,text\n" for i in range(100)), "s")
+    assert next(rows)["id"] == "1" and len(taken) < 3
+
+
+@pytest.mark.parametrize("block", [1, 7, 1 << 20])
+def test_json_is_a_stream(spark, tmp_path, block):
+    import io
+
+    text = {"id": "1", "text": 'a "q" \\   é {[,]}', "n": -12.5e3, "deep": [{"x": [1, None, True]}]}
+    for whole, want in (([text, text], 2), ({"before": [1, {}], "records": [text] * 3, "after": "x"}, 3), (text, 1), ({"records": [], "a": 1}, 0), ([], 0)):
+        for indent in (None, 2):
+            got = list(A.json_rows(io.StringIO(json.dumps(whole, indent=indent)), "s", False, block=block))
+            assert got == [A.mapped(text, "s")] * want
+    for bad in ('[{"id": "1", "text": "a"}', '[{"id": "1", "text": "a"}] x', '{"records": [],}', '{"records": [] "a": 1}', '{"id": 1', "", '[{"id": "1", "text": "a"},]', "{,}"):
+        with pytest.raises(SourceError):
+            list(A.json_rows(io.StringIO(bad), "s", False, block=block))
+    (tmp_path / "a.jsonl").write_text('{"id": "1", "text": "a b\x85c"}\r\n{"id": "2", "text": "d"}', newline="")
+    assert [g[1]["text"] for g in records(A.read(spark, str(tmp_path), "json"))] == ["a b\x85c", "d"]
+
+
+def test_many_files_are_few_tasks(spark, tmp_path):
+    for i in range(600):
+        (tmp_path / f"d{i % 3} x").mkdir(exist_ok=True)
+        (tmp_path / f"d{i % 3} x" / f"{i}.md").write_text("text")
+    for hidden in ("_no", ".no", "d0 x/_no"):
+        (tmp_path / hidden).mkdir()
+        (tmp_path / hidden / "none.md").write_text("text")
+    got = A.read(spark, str(tmp_path), "markdown")
+    assert got.rdd.getNumPartitions() <= 16
+    assert sorted((r.id, r.source) for r in got.collect()) == sorted((str(i), f"d{i % 3} x/{i}.md") for i in range(600))
+
+
+def test_lines_become_files_in_pieces(spark, tmp_path):
+    from cinderfind.table_queries import _write_lines
+
+    rows = spark.range(1000).repartition(7).selectExpr("concat(id % 3, '.csv') as name", "cast(id as string) as line")
+    _write_lines(rows, f"file://{tmp_path}/at", {"csv": ("head\n", "\n", "\nend")})
+    assert sorted(p.name for p in (tmp_path / "at").iterdir()) == ["0.csv", "1.csv", "2.csv"]
+    for k in range(3):
+        lines = (tmp_path / "at" / f"{k}.csv").read_text().split("\n")
+        assert lines[0] == "head" and lines[-1] == "end" and sorted(map(int, lines[1:-1])) == list(range(k, 1000, 3))

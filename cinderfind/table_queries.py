@@ -139,7 +139,7 @@ def catalog_chunks(spark, d):
     even = _even(spark, d)
     catalog.replace_chunks(even.select("doc_id").distinct(), even.filter("chunk_index <= 1"), index=False)
     first = _turns(spark, d).filter("chunk_index = 0")
-    catalog.upsert_chunks(first.withColumn("text", F.lit("old")).coalesce(1).unionByName(first.withColumn("text", F.lit("new")).coalesce(1)), index=False)
+    catalog.upsert_chunks(first.withColumn("text", F.lit("old")).unionByName(first.withColumn("text", F.lit("new"))), index=False)
     return catalog.chunks.read().select("chunk_id", "text")
 
 

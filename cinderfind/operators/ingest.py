@@ -52,10 +52,11 @@ def chunks_of(records: DataFrame, chunker: Callable[[DataFrame], DataFrame] | No
     return cut.select("chunk_id", "doc_id", "text", "chunk_index", "section_path", T.content_hash(F.col("text")).alias("content_hash"), F.lit(True).alias("active"))
 
 
-def vector_rows(chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """(id, text, metadata, content_hash): metadata is attributes, document columns that aren't null, and the chunk's place."""
+def vector_rows(chunks: DataFrame, documents: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(id, text, metadata, content_hash): metadata is attributes, document columns that aren't null, and the chunk's place.
+    only (chunk_id, doc_id): these chunks alone; their documents are joined before texts are."""
     d = documents.select("doc_id", "attributes", *[F.col(c).alias(f"_{c}") for c in DOCUMENT_COLUMNS])
-    both = chunks.join(d, "doc_id")
+    both = chunks.join(d, "doc_id") if only is None else chunks.drop("doc_id").join(only.select("chunk_id", "doc_id").join(d, "doc_id"), "chunk_id")
     plain = F.to_json(F.struct(*[F.col(f"_{c}").alias(c) for c in DOCUMENT_COLUMNS], "chunk_index", "section_path"))
     merged = F.to_json(F.map_concat(_less(F.coalesce("attributes", F.lit("{}"))), F.from_json(plain, "map<string,variant>")))
     return both.select(F.col("chunk_id").alias("id"), "text", merged.alias("metadata"), "content_hash")
@@ -94,27 +95,34 @@ class Pipeline:
     def ingest(self, records: DataFrame) -> Ingested:
         if not duplicate_keys(records, ["id"]).isEmpty():
             raise ValueError("a record's id comes twice")
-        docs, chunks = documents_of(records).persist(), chunks_of(records, self.chunker).persist()
+        catalog = self.catalog
+        docs = staged(catalog.spark, catalog.documents.path, documents_of(records))
+        chunks, ids = chunks_of(records, self.chunker), docs.select("doc_id")
+        if self.chunker is not None:
+            chunks = staged(catalog.spark, catalog.chunks.path, chunks)
         if not duplicate_keys(chunks, ["chunk_id"]).isEmpty():
             raise ValueError("a chunk's id comes twice")
-        catalog, ids = self.catalog, docs.select("doc_id")
         # what a changed document says of its chunks is old in every space, also where their text stays
-        touched = catalog.chunks.read().join(changed(catalog.documents.read(), docs), "doc_id", "left_semi").select("chunk_id")
+        before = catalog.documents.read()
+        other = staged(catalog.spark, catalog.documents.path, changed(before, docs))
+        touched = catalog.chunks.read().join(other, "doc_id", "left_semi").select("chunk_id")
         touched = staged(catalog.spark, catalog.chunks.path, touched)
         if not touched.isEmpty():
             catalog.invalidate(touched)
             for store in self.stores.values():
                 store.delete(touched.withColumnRenamed("chunk_id", "id"))
-        catalog.upsert_documents(docs)
+        fresh = ids.join(before, "doc_id", "left_anti").union(other)
+        fresh = staged(catalog.spark, catalog.documents.path, docs.join(fresh, "doc_id", "left_semi"))
+        if not fresh.isEmpty():
+            catalog.documents.upsert(fresh, unique=True)
         removed = catalog.replace_chunks(ids, chunks)
-        out = Ingested(docs.count(), chunks.count(), removed.count())
+        out = Ingested(docs.count(), catalog.chunks.read().join(ids, "doc_id", "left_semi").count(), removed.count())
         if out.removed:
             for store in self.stores.values():
                 store.delete(removed.withColumnRenamed("chunk_id", "id"))
         self._embed(self.primary, ids, out, routed=True)
         if self.fallback is not None and self.fallback_mode == "eager":
             self._embed(self.fallback, ids, out, routed=False)
-        docs.unpersist(), chunks.unpersist()
         return out
 
     def reembed_stale(self, provider) -> Ingested:
@@ -126,41 +134,41 @@ class Pipeline:
     def _embed(self, provider, ids: DataFrame | None, out: Ingested, routed: bool) -> None:
         catalog, space = self.catalog, provider.space
         active = catalog.chunks.read().filter("active")
+        keys = active.select("chunk_id", "doc_id", "content_hash", "active")
         if ids is not None:
-            active = active.join(ids, "doc_id", "left_semi")
-        old = stale(active, catalog.embedded.read(), space, full=True).persist()
-        n, total = old.count(), active.count()
+            keys = keys.join(ids, "doc_id", "left_semi")
+        # what is stale is a table of keys; texts are joined once it is known
+        old = staged(catalog.spark, catalog.chunks.path, stale(keys, catalog.embedded.read(), space, full=True).select("chunk_id", "doc_id", "content_hash"))
+        n, total = old.count(), keys.count()
         out.embedded[space.space_id], out.skipped[space.space_id] = 0, total - n
-        try:
-            if not n:
-                return
-            selection = None
-            if routed and self.router is not None:
-                tokens = old.agg(F.sum(T.estimate_tokens(F.col("text")))).first()[0]
-                try:
-                    selection = self.router.select("ingest", estimated_tokens=int(tokens))
-                except NoProvider as e:
-                    out.errors.append(str(e))
-                    selection = None
-                if selection is None or selection.provider is not provider:
-                    if self.require_primary:
-                        raise RuntimeError("the primary provider was turned down, and ingestion requires it")
-                    return
-            store = self.stores[space.space_id]
+        if not n:
+            return
+        selection = None
+        if routed and self.router is not None:
+            tokens = active.join(old.select("chunk_id"), "chunk_id", "left_semi").agg(F.sum(T.estimate_tokens(F.col("text")))).first()[0]
             try:
-                # a table of its own: the model runs once, however often its rows are read
-                rows = staged(catalog.spark, store.table.path, embed(vector_rows(old, catalog.documents.read()), provider, batch=self.batch_size))
-            except Exception:
-                if selection is not None:
-                    self.router.record_failure(selection.reservation)
-                if self.require_primary or not routed:
-                    raise
-                out.errors.append(f"embedding failed in {space.space_id}")
+                selection = self.router.select("ingest", estimated_tokens=int(tokens))
+            except NoProvider as e:
+                out.errors.append(str(e))
+                selection = None
+            if selection is None or selection.provider is not provider:
+                if self.require_primary:
+                    raise RuntimeError("the primary provider was turned down, and ingestion requires it")
                 return
+        store = self.stores[space.space_id]
+        try:
+            # a version of the store's own: the model runs once, however often its rows are read
+            name = store.prepared(embed(vector_rows(active, catalog.documents.read(), old), provider, batch=self.batch_size))
+        except Exception:
             if selection is not None:
-                self.router.record_usage(int(tokens), reservation=selection.reservation)
-            store.upsert(rows)
-            catalog.mark_embedded(rows.select(F.col("id").alias("chunk_id"), "content_hash"), space)
-            out.embedded[space.space_id] = n
-        finally:
-            old.unpersist()
+                self.router.record_failure(selection.reservation)
+            if self.require_primary or not routed:
+                raise
+            out.errors.append(f"embedding failed in {space.space_id}")
+            return
+        if selection is not None:
+            self.router.record_usage(int(tokens), reservation=selection.reservation)
+        made = old.join(catalog.documents.read().select("doc_id"), "doc_id", "left_semi")
+        store.adopt(name, made.select(F.col("chunk_id").alias("id")))
+        catalog.mark_embedded(made, space, unique=True)
+        out.embedded[space.space_id] = n

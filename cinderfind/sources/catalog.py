@@ -84,18 +84,26 @@ class Catalog:
             self.reindex()
 
     def _sound(self, rows: DataFrame) -> DataFrame:
+        rows = self._defaults(rows)
+        self._check(rows)
+        return rows
+
+    def _defaults(self, rows: DataFrame) -> DataFrame:
         for name, default in (("section_path", F.lit(None).cast("string")), ("content_hash", content_hash(F.col("text"))), ("active", F.lit(True))):
             if name not in rows.columns:
                 rows = rows.withColumn(name, default)
+        return rows
+
+    def _check(self, rows: DataFrame) -> None:
         bad = rows.filter("chunk_id is null or chunk_id = '' or text is null or trim(text) = '' or chunk_index < 0")
         if not bad.isEmpty():
             raise ValueError("a chunk has no id, no text or a negative index")
-        return rows
 
     def replace_chunks(self, docs: DataFrame, rows: DataFrame, index: bool = True) -> DataFrame:
         """Puts rows in place of all chunks of docs (doc_id), and returns the removed chunk_ids, sorted. Chunks that
         stay keep their ledger rows; those of removed ones go."""
-        rows = self._sound(rows)
+        name, rows = self.chunks.prepared(self._defaults(rows))  # made once, and the new version as it is if there was nothing before
+        self._check(rows)
         if not rows.join(docs, "doc_id", "left_anti").isEmpty():
             raise ValueError("a chunk is of another document")
         if not duplicate_keys(rows, ["chunk_id"]).isEmpty():
@@ -103,12 +111,27 @@ class Catalog:
         old = self.chunks.read()
         gone = old.join(docs, "doc_id", "left_semi").join(rows.select("chunk_id"), "chunk_id", "left_anti").select("chunk_id")
         removed = staged(self.spark, self.chunks.path, gone).orderBy("chunk_id")
-        self.chunks.commit(old.join(docs, "doc_id", "left_anti").select(*CHUNKS.names).unionByName(rows.select(*CHUNKS.names)))
-        self.embedded.delete(removed)
-        if index:
+        if old.isEmpty():
+            self.chunks.adopt(name)
+        else:
+            self._replace(old, rows, removed, name)
+        if not removed.isEmpty():
+            self.embedded.delete(removed)
+        if index and self._indexed() != self.chunks.version():
             self.reindex()
         return removed
 
+    def _replace(self, old: DataFrame, rows: DataFrame, removed: DataFrame, name: str) -> None:
+        """Commits rows, prepared as name, in place of old ones; where none is new, other or gone, the version stays."""
+        state = lambda t: t.select("chunk_id", F.struct("doc_id", "chunk_index", "section_path", "content_hash", "active", F.sha2("text", 256)).alias("state"))
+        both = state(rows).join(state(old).withColumnRenamed("state", "before"), "chunk_id", "left")
+        fresh = staged(self.spark, self.chunks.path, both.filter(~F.col("state").eqNullSafe(F.col("before"))).select("chunk_id"))
+        if fresh.isEmpty() and removed.isEmpty():
+            self.chunks.discard(name)
+            return
+        rest = staged(self.spark, self.chunks.path, old.select("chunk_id").join(rows.select("chunk_id").union(removed), "chunk_id", "left_anti"))
+        self.chunks.adopt(name, None if rest.isEmpty() else old.join(rest, "chunk_id", "left_semi"))
+
     def delete_documents(self, ids: DataFrame) -> None:
         """With their chunks and those chunks' ledger rows."""
         gone = staged(self.spark, self.chunks.path, self.chunks.read().join(ids, "doc_id", "left_semi").select("chunk_id"))
@@ -117,11 +140,11 @@ class Catalog:
         self.documents.delete(ids.select("doc_id"))
         self.reindex()
 
-    def mark_embedded(self, chunks: DataFrame, space: Space) -> None:
-        """chunks (chunk_id, content_hash) are embedded in the space."""
+    def mark_embedded(self, chunks: DataFrame, space: Space, unique: bool = False) -> None:
+        """chunks (chunk_id, content_hash) are embedded in the space. unique: no chunk_id comes twice."""
         s = F.lit
         rows = chunks.select("chunk_id", s(space.space_id).alias("space_id"), s(space.provider).alias("provider"), s(space.model).alias("model"), s(space.dimension).alias("dimension"), s(space.version).alias("version"), "content_hash", F.current_timestamp().alias("created_at"))
-        self.embedded.upsert(rows)
+        self.embedded.upsert(rows, unique=unique)
 
     def invalidate(self, ids: DataFrame) -> None:
         """Forgets that chunks (chunk_id) are embedded, in every space."""
@@ -143,7 +166,17 @@ class Catalog:
 
     def reindex(self) -> None:
         """Writes the lexical index of all chunks, active or not."""
+        fs, mark = self.chunks._fs(f"{self.path}/lexical/_CHUNKS")
+        fs.delete(mark, False)
+        version = self.chunks.version()
         lexical.write(lexical.build(self.chunks.read()), f"{self.path}/lexical")
+        out = fs.create(mark, True)
+        out.write(bytearray((version or "").encode()))
+        out.close()
+
+    def _indexed(self) -> str | None:
+        """The version of the chunks that the lexical index is of."""
+        return self.chunks.text(f"{self.path}/lexical/_CHUNKS")
 
     def search_lexical(self, queries: DataFrame, k: int = 10, where: dict | None = None, scope: Scope | None = None) -> DataFrame:
         """(query_id, chunk_id, score, rank) for (query_id, text): active chunks of documents in filter and scope."""

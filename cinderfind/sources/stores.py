@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cinderfind.functions import vectors as V
 from cinderfind.model import VECTORS
 from cinderfind.plans.filters import compile_filter
-from cinderfind.sources.tables import Table, upserted
+from cinderfind.sources.tables import Table, staged, upserted
 
 _FACTORIES: dict = {}
 
@@ -43,6 +43,20 @@ class VectorStore:
         new = rows.select("id", "text", "metadata", unit.alias("unit"), F.lit(self.space_id).alias("space_id"), *([order] if order else []))
         self.table.commit(upserted(self.table.read(), new, ["space_id", "id"], order))
 
+    def prepared(self, rows: DataFrame) -> str:
+        """The name of a version of rows, as upsert() takes them and of ids that are unique, which adopt() puts in place."""
+        unit = V.unit(F.col("vector")).cast("array<float>")
+        return self.table.prepared(rows.select("id", "text", "metadata", unit.alias("unit"), F.lit(self.space_id).alias("space_id")))[0]
+
+    def adopt(self, name: str, ids: DataFrame) -> None:
+        """Upserts the rows of a prepared version, whose ids are these."""
+        made = self.spark.read.schema(VECTORS).parquet(f"{self.table.path}/{name}")
+        made.select(F.sum(F.size(V.checked(F.col("unit"), self.dimension)))).collect()  # an error for one that isn't sound
+        old = self.table.read()
+        gone = ids.select("id", F.lit(self.space_id).alias("space_id"))
+        keys = staged(self.spark, self.table.path, old.select("space_id", "id").join(gone, ["space_id", "id"], "left_anti"))
+        self.table.adopt(name, None if keys.isEmpty() else old.join(gone, ["space_id", "id"], "left_anti"))
+
     def delete(self, ids: DataFrame) -> None:
         gone = ids.select("id", F.lit(self.space_id).alias("space_id")).distinct()
         self.table.commit(self.table.read().join(gone, ["space_id", "id"], "left_anti"))

@@ -22,7 +22,11 @@ class Table:
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
     def version(self) -> str | None:
-        fs, pointer = self._fs(f"{self.path}/_CURRENT")
+        return self.text(f"{self.path}/_CURRENT")
+
+    def text(self, path: str) -> str | None:
+        """What a small file holds."""
+        fs, pointer = self._fs(path)
         if not fs.exists(pointer):
             return None
         stream = fs.open(pointer)
@@ -42,6 +46,9 @@ class Table:
         """Makes rows the table. They may be derived from the version before."""
         name = f"v-{uuid.uuid4().hex}"
         rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema]).write.partitionBy(*self.partition_by).parquet(f"{self.path}/{name}")
+        return self._point(name)
+
+    def _point(self, name: str) -> str:
         fs, fresh = self._fs(f"{self.path}/_NEXT-{name}")
         out = fs.create(fresh, True)
         out.write(bytearray(name.encode()))
@@ -54,6 +61,23 @@ class Table:
         self.spark.catalog.refreshByPath(self.path)
         return name
 
+    def prepared(self, rows: DataFrame) -> tuple[str, DataFrame]:
+        """(name, rows) of a version that no reader sees before adopt(): rows are made and written once."""
+        name = f"v-{uuid.uuid4().hex}"
+        rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema]).write.partitionBy(*self.partition_by).parquet(f"{self.path}/{name}")
+        return name, self.spark.read.schema(self.schema).parquet(f"{self.path}/{name}")
+
+    def adopt(self, name: str, rest: DataFrame | None = None) -> str:
+        """Makes a prepared version the table, with the rows of rest beside its own."""
+        if rest is not None:
+            rest.select(*self.schema.names).write.mode("append").partitionBy(*self.partition_by).parquet(f"{self.path}/{name}")
+        return self._point(name)
+
+    def discard(self, name: str) -> None:
+        """Drops a prepared version."""
+        fs, at = self._fs(f"{self.path}/{name}")
+        fs.delete(at, True)
+
     def vacuum(self) -> None:
         """Drops every version but the current one, and what was staged."""
         fs, root = self._fs(self.path)
@@ -63,9 +87,13 @@ class Table:
             if name.startswith("v-") and name != current or name == "_staged":
                 fs.delete(status.getPath(), True)
 
-    def upsert(self, rows: DataFrame, order: str | None = None) -> None:
-        """Inserts rows or replaces those of equal keys. Of rows with equal keys the last by order wins."""
-        self.commit(upserted(self.read(), rows, self.keys, order))
+    def upsert(self, rows: DataFrame, order: str | None = None, unique: bool = False) -> None:
+        """Inserts rows or replaces those of equal keys. Of rows with equal keys the last by order wins. unique: there
+        are none, so rows aren't sorted by their keys."""
+        if unique:
+            self.commit(self.read().join(rows.select(*self.keys), self.keys, "left_anti").unionByName(rows))
+        else:
+            self.commit(upserted(self.read(), rows, self.keys, order))
 
     def delete(self, ids: DataFrame) -> None:
         """Drops rows whose keys are in ids; unknown ones do nothing."""

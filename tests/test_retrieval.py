@@ -151,3 +151,63 @@ def test_streaming(spark, tmp_path):
     query = start(spark.readStream.schema(frame(spark).schema).parquet(str(tmp_path / "in")), pipe, str(tmp_path / "ck"), availableNow=True)
     query.awaitTermination(120)
     assert catalog.documents.read().count() == 3
+
+
+def test_what_is_unchanged_is_not_written_again(spark, tmp_path):
+    """A second ingest of the same records leaves the tables' versions and the index; changed ones replace theirs alone."""
+    from pyspark.sql import functions as F
+
+    from cinderfind.operators.embed import HashProvider
+    from cinderfind.operators.ingest import Pipeline
+    from cinderfind.sources.adapters import RECORD
+    from cinderfind.sources.catalog import Catalog
+    from cinderfind.sources.stores import VectorStore
+
+    catalog, provider = Catalog(spark, str(tmp_path / "c")), HashProvider(8)
+    catalog.create_schema()
+    store = VectorStore(spark, str(tmp_path / "v"), provider.space.space_id, 8)
+    pipe = Pipeline(catalog, {provider.space.space_id: store}, provider)
+    rows = lambda text, size: spark.createDataFrame([(i, [("Body", text if i == "a" else f"word {i}")], f'{{"size": {size if i == "b" else 1}}}', "s") for i in "abc"], RECORD)
+    versions = lambda: (catalog.documents.version(), catalog.chunks.version(), catalog.embedded.version(), store.table.version(), catalog._indexed())
+    found = lambda word: {r.chunk_id[0] for r in catalog.search_lexical(spark.createDataFrame([("q", word)], "query_id string, text string")).collect()}
+    assert pipe.ingest(rows("old", 1)).chunks == 3
+    first = versions()
+    again = pipe.ingest(rows("old", 1))
+    assert versions() == first and again.chunks == 3 and again.skipped == {provider.space.space_id: 3}
+    pipe.ingest(rows("old", 2))  # metadata alone: the chunks and their index stay
+    assert versions()[1] == first[1] == versions()[4] and versions()[0] != first[0]
+    assert sorted(r.metadata for r in store.rows().filter(F.col("id").startswith("b")).collect())[0].find('"size":2') > 0
+    last = pipe.ingest(rows("new text", 2))
+    assert list(last.embedded.values()) == [1] and catalog.chunks.version() == catalog._indexed() != first[1]
+    assert catalog.chunks.read().count() == store.count() == catalog.embedded.read().count() == 3
+    assert found("old") == set() and found("new") == {"a"} and found("word") == {"b", "c"}
+
+
+def test_the_index_is_written_without_a_shuffle(spark, tmp_path):
+    from cinderfind.operators import lexical
+
+    texts = {"a": "b c b", "d": "", "e": "c c é", "f": "x"}
+    index = lexical.build(spark.createDataFrame(list(texts.items()), "chunk_id string, text string"))
+    lexical.write(index, str(tmp_path / "i"))
+    got = lexical.read(spark, str(tmp_path / "i"))
+    for a, b in ((got.postings.select("chunk_id", "pos", "term"), index.postings.select("chunk_id", "pos", "term")), (got.lengths, index.lengths)):
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    import pyarrow as pa
+
+    held, lexical.RUN = lexical.RUN, 2
+    try:
+        out = list(lexical._runs([pa.record_batch([pa.array(list("abcd")), pa.array([["z", "a", "z"], [], ["b"], ["y", "b"]])], names=["chunk_id", "terms"])]))
+    finally:
+        lexical.RUN = held
+    rows = [[tuple(r.values()) for r in b.to_pylist()] for b in out]
+    assert all([r[2] for r in run] == sorted(r[2] for r in run) for run in rows) and len(rows) > 1
+    assert sorted(sum(rows, [])) == [("a", 0, "z"), ("a", 1, "a"), ("a", 2, "z"), ("c", 0, "b"), ("d", 0, "y"), ("d", 1, "b")]
+
+
+def test_last_to_arrive_wins_without_one_task(spark, tmp_path):
+    """catalog_chunks has no step whose single task reads all turns."""
+    import inspect
+
+    from cinderfind import table_queries
+
+    assert "coalesce(1)" not in inspect.getsource(table_queries.catalog_chunks)

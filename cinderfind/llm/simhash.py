@@ -17,7 +17,8 @@ makes no bucket by itself.
 A bucket with more than BUCKET documents is worked off in pairs of blocks, so no task holds one whole and none is
 skipped. Each document proposes its nearest WIDTH of other classes; once those are verified and joined, further rounds
 propose, wider each time, what still lies between different classes, until nothing is left over. So a class of n costs
-some n links, not n * n, and no link between classes goes unverified.
+some n links, not n * n, and no link between classes goes unverified. What documents that share a part propose must
+be near by sizes and sketches already in the bucket, so dissimilar ones are compared there and never become pairs.
 """
 
 from __future__ import annotations
@@ -48,6 +49,7 @@ SMALL = 8  # a bucket of so many is compared in full at once
 WIDTH = 4
 HASHES = 1 << 20  # of ids: so many are broadcast at most
 SIGMAS = 2.9
+FOLDED = 1024  # bits of the sketches that are compared in buckets
 CHUNK = 1024  # documents of which a task packs the parts at once
 PART = 1 << 21  # parts of sets that a task sorts at once
 CACHE = 500_000
@@ -102,11 +104,20 @@ def simhash(found: np.ndarray) -> np.ndarray:
 
 
 def sketch(found: np.ndarray) -> bytes:
-    """Of a set's hashes, whether an odd number falls on each bit of a power of two, twice the set's size or more."""
-    bits = 1 << max(6, (2 * len(found) - 1).bit_length())
+    """Of a set's hashes, whether an odd number falls on each bit of a power of two: twice the set's size, and FOLDED, or more."""
+    bits = 1 << max(FOLDED.bit_length() - 1, (2 * len(found) - 1).bit_length())
     return np.packbits(np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
+def _folded(it):
+    """(node, n, odd, texts) -> (node, n, fold): sketches of FOLDED bits, which differ in no more bits than the sets in shingles.
+    n is -1 for a node of several texts, which sizes and sketches don't tell from others."""
+    for batch in it:
+        folds = [np.bitwise_xor.reduce(np.frombuffer(v.as_buffer(), np.uint64).reshape(-1, FOLDED // 64), axis=0).tobytes() for v in batch.column("odd")]
+        n = np.where(batch.column("texts").to_numpy() > 1, -1, batch.column("n").to_numpy())
+        yield pa.record_batch([batch.column("node"), pa.array(n.astype(np.int32)), pa.array(folds, pa.binary())], names=["node", "n", "fold"])
+
+
 def _near(threshold: float):
     """(a, b, n_a, n_b, odd_a, odd_b) -> the pairs that may reach the threshold: sketches, the larger folded, differ in no more
     bits than the sets in shingles."""
@@ -308,14 +319,18 @@ def _leaves(k: int, tries: int):
     return run
 
 
-def _runs(it):
-    """Batches of a partition sorted by bucket -> (bucket, side, node, label, few, sig) that end where a bucket ends."""
+def _folds(batch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("fold").to_pylist()), np.uint64).reshape(-1, FOLDED // 64)
+
+
+def _runs(it, extra: str = "few"):
+    """Batches of a partition sorted by bucket -> (bucket, side, node, label, extra, bits) that end where a bucket ends."""
     held: list[list[np.ndarray]] = []
     rows = 0
     for batch in it:
         if not batch.num_rows:
             continue
-        held.append([*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "side", "node", "label", "few")), _sig(batch).view(np.uint64)])
+        held.append([*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "side", "node", "label", extra)), _sig(batch).view(np.uint64) if extra == "few" else _folds(batch)])
         rows += batch.num_rows
         if rows < 8192:
             continue
@@ -328,16 +343,34 @@ def _runs(it):
         yield [np.concatenate(x) for x in zip(*held)]
 
 
-def _nearest(side, node, label, few, sig, width: int, limits: tuple[int, int]):
+def _count(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which rows differ, word by word."""
+    out = np.zeros(np.broadcast_shapes(a.shape[:-1], b.shape[:-1]), np.uint16)
+    for w in range(a.shape[-1]):
+        out += np.bitwise_count(a[..., w] ^ b[..., w])
+    return out
+
+
+def _beyond(bits: np.ndarray, x: np.ndarray, y: np.ndarray, limits) -> np.ndarray:
+    """Which pairs cannot be alike. limits: of bits (the second if one of the two has few shingles: x, y); or the threshold, with
+    sizes x, y, of which -1 is any: sets at the threshold differ in no more shingles, and folded sketches in no more bits."""
+    if isinstance(limits, tuple):
+        return (bits > limits[0]) & ~x & ~y | (bits > limits[1])
+    x, y = x.astype(np.int64), y.astype(np.int64)
+    bad = (bits > (x + y) * (1 - limits) / (1 + limits) + 1e-6) | (np.minimum(x, y) < limits * np.maximum(x, y) - 1e-6)
+    return bad & (x >= 0) & (y >= 0)
+
+
+def _nearest(side, node, label, few, sig, width: int, limits):
     """Of one bucket: (i, j) with j among the width nearest of i, and of width 1 also the least node that is near enough;
     and whether some i has more than these."""
     left, right, more = [], [], False
     for at in range(0, len(node), 256):
         rows = slice(at, at + 256)
-        bits = np.bitwise_count(sig[rows, None, 0] ^ sig[None, :, 0]) + np.bitwise_count(sig[rows, None, 1] ^ sig[None, :, 1])
-        bad = (bits > limits[0]) & ~few[rows, None] & ~few[None] | (bits > limits[1])
+        bits = _count(sig[rows, None], sig[None])
+        bad = _beyond(bits, few[rows, None], few[None], limits)
         bad |= (label[rows, None] == label[None]) | (node[rows, None] == node[None]) | ((side[rows, None] != 0) & (side[rows, None] == side[None]))
-        bits[bad] = 255
+        bits[bad] = np.iinfo(bits.dtype).max
         count = len(node) - bad.sum(1)
         i = np.flatnonzero(count)
         if not len(i):
@@ -357,15 +390,15 @@ def _nearest(side, node, label, few, sig, width: int, limits: tuple[int, int]):
     return np.concatenate([none, *left]), np.concatenate([none, *right]), more
 
 
-def _propose(width: int, limits: tuple[int, int]):
-    """Sorted (bucket, side, node, label, few, s0, s1) -> pairs (a, b, null) within limits (the second if one of the two has
-    few shingles) and of different labels: all of a small bucket, and each document's nearest width of a larger one, with
+def _propose(width: int, limits):
+    """Sorted (bucket, side, node, label, few, s0, s1), or (..., n, fold), -> pairs (a, b, null) that are not _beyond(limits)
+    and of different labels: all of a small bucket, and each document's nearest width of a larger one, with
     a row (null, null, bucket) if those were not all.
 
     side: 0 in a bucket of its own; 1 and 2 in a pair of blocks, which meet each other alone."""
 
     def run(it):
-        for bucket, side, node, label, few, sig in _runs(it):
+        for bucket, side, node, label, few, sig in _runs(it, "few" if isinstance(limits, tuple) else "n"):
             n = len(bucket)
             starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
             sizes = np.diff(np.r_[starts, n])
@@ -376,7 +409,7 @@ def _propose(width: int, limits: tuple[int, int]):
                 step += 1
                 at = at[at + step < end[at]]
                 to = at + step
-                ok = np.bitwise_count(sig[at] ^ sig[to]).sum(1) <= np.where(few[at] | few[to], limits[1], limits[0])
+                ok = ~_beyond(_count(sig[at], sig[to]), few[at], few[to], limits)
                 ok &= (label[at] != label[to]) & (node[at] != node[to]) & ((side[at] == 0) | (side[at] != side[to]))
                 a.append(at[ok]), b.append(to[ok])
             for start, size in zip(starts[sizes > SMALL], sizes[sizes > SMALL]):
@@ -420,7 +453,7 @@ def _verified(threshold: float):
 
 
 def _shared(ws: Workspace, texts: DataFrame, nodes: DataFrame, total: int, threshold: float) -> DataFrame:
-    """(bucket, side, node, few, s0, s1): what nodes of different labels share. Crowded buckets come as pairs of blocks."""
+    """(bucket, side, node, n, fold): what nodes of different labels share. Crowded buckets come as pairs of blocks."""
     parts = max(1, math.ceil(total / PART))
     packs = texts.select("node", "label", "words").mapInArrow(_parted(parts, threshold), "part int, payload binary")
     met = ws.save(packs.groupBy("part").applyInArrow(_met, "bucket long, node long").distinct(), "met")
@@ -430,7 +463,7 @@ def _shared(ws: Workspace, texts: DataFrame, nodes: DataFrame, total: int, thres
     many = met.join(crowds, F.col("bucket") == F.col("d")).select("node", "bucket", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
     many = many.select("node", F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("bucket"), side.alias("side"))
-    bits = nodes.groupBy("node").agg(F.min("s0").alias("s0"), F.min("s1").alias("s1")).withColumn("few", F.lit(True))
+    bits = nodes.groupBy("node").agg(F.min("n").alias("n"), F.min("odd").alias("odd"), F.count(F.lit(1)).alias("texts")).mapInArrow(_folded, "node long, n int, fold binary")
     return ws.save(one.unionByName(many).join(bits, "node"), "shared")
 
 
@@ -488,8 +521,8 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
         if roots is None:
             rows, limits = first.withColumn("label", F.col("node")), (far(threshold, SHORT + 1), far(threshold))
         else:
-            rows, limits = labelled(shared if again is None else shared.join(again, "bucket", "left_semi")), (BITS, BITS)
-        rows = rows.select("bucket", "side", "node", "label", "few", "s0", "s1").repartition("bucket").sortWithinPartitions("bucket")
+            rows, limits = labelled(shared if again is None else shared.join(again, "bucket", "left_semi")), threshold
+        rows = rows.select("bucket", "side", "node", "label", *(("few", "s0", "s1") if isinstance(limits, tuple) else ("n", "fold"))).repartition("bucket").sortWithinPartitions("bucket")
         pairs = ws.save(rows.mapInArrow(_propose(width, limits), "a long, b long, rest long").distinct(), f"pairs-{step}")
         fresh = pairs.filter("a is not null").select("a", "b")
         if tested is not None:

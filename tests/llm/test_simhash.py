@@ -212,3 +212,24 @@ def test_sketches_leave_out_no_pair():
         rows = {"a": [1], "b": [2], "n_a": [len(x)], "n_b": [len(y)], "odd_a": [S.sketch(x)], "odd_b": [S.sketch(y)]}
         (out,) = S._near(0.8)(iter([S.pa.RecordBatch.from_pydict(rows)]))
         assert out.num_rows == (both >= 0.8 * (n + m - both))
+
+
+def test_unlike_documents_never_become_pairs():
+    """Of a bucket whose documents are unlike none is proposed, however wide; those that may be alike all are."""
+    import numpy as np
+    import pyarrow as pa
+
+    from cinderfind.llm import simhash as S
+
+    rng = np.random.default_rng(1)
+    for size in (6, 60):  # a small bucket and a larger one
+        base = [np.unique(rng.integers(0, 2**64, 300, np.uint64)) for _ in range(size)]
+        near = np.unique(np.r_[base[0][:-10], rng.integers(0, 2**64, 10, np.uint64)])  # at 290 / 310
+        sets = [*base, near, base[1][:150]]
+        nodes = pa.record_batch([pa.array(range(len(sets))), pa.array([len(x) for x in sets], pa.int32()), pa.array([S.sketch(x) for x in sets]), pa.array([1] * (len(sets) - 1) + [2])], names=["node", "n", "odd", "texts"])
+        rows = next(iter(S._folded([nodes])))
+        ids = rows.column("node")
+        batch = pa.record_batch([pa.array([7] * len(sets)), pa.array([0] * len(sets)), ids, ids, rows.column("n"), rows.column("fold")], names=["bucket", "side", "node", "label", "n", "fold"])
+        out = [r for b in S._propose(1000, 0.8)([batch]) for r in b.to_pylist()]
+        many = len(sets) - 1  # a node of several texts may be like any
+        assert {(r["a"], r["b"]) for r in out} == {(0, size)} | {(i, many) for i in range(many)}
